@@ -198,17 +198,23 @@ def _alike(least: float):
 
 
 def _opened(least: float):
-    """Sorted rows (tree, region, i, j, left, right, node, root, signature) to the pairs of left and right in different groups that look alike."""
+    """Sorted rows (tree, region, i, j, left, right, node, root, signature) to the pairs of left and right in different groups that look alike.
+
+    A pair that shares regions in several trees is given by the first of them only.
+    """
 
     def task(batches):
         for group in sorted_groups(batches, 4):
+            tree = group.column(0)[0].as_py()
             left, right = (group.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in (4, 5))
             node, root = group.column(6).to_numpy(), group.column(7).to_numpy()
             s = np.frombuffer(b"".join(group.column(8).to_pylist()), "<u4").reshape(-1, HASHES)
             r, out = np.flatnonzero(right), []
             for a in np.flatnonzero(left):
                 b = r[root[r] != root[a]]
-                b = b[(s[b] == s[a]).mean(axis=1) >= least]
+                same = s[b] == s[a]
+                first = same.reshape(-1, TREES, DEPTH).all(axis=2).argmax(axis=1)
+                b = b[(same.mean(axis=1) >= least) & (first == tree)]
                 out += [(min(node[a], node[x]), max(node[a], node[x])) for x in b]
             if out:
                 u, v = zip(*set(out))
@@ -246,7 +252,7 @@ def _regions_open(members: DataFrame, roots: DataFrame, signed: DataFrame, least
     return dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_opened(least), "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, row: str, percent: int = 75, margin: float = 0.2) -> DataFrame:
+def near_duplicates(docs: DataFrame, row: str, percent: int = 75, margin: float = 0.16) -> DataFrame:
     """A row for each document: row, doc_id, n_shingles, component_id, kept, first (the component's first row).
 
     docs has been written, with a column row of distinct longs beside doc_id and text. Documents are
@@ -259,7 +265,7 @@ def near_duplicates(docs: DataFrame, row: str, percent: int = 75, margin: float
 
     A pair with a similarity of 0.75 meets in a region of one of the 32 trees at least but for 5 cases
     in a million. Pairs whose signatures agree in fewer than percent / 100 - margin of 128
-    values are not verified: five standard deviations below the threshold.
+    values are not verified: four standard deviations below the threshold, 15 cases in a million.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
