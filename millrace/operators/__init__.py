@@ -1 +1,113 @@
+"""Operators that compose built-in DataFrame operations."""
 
+from __future__ import annotations
+
+import functools
+import operator
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def range_join(left: DataFrame, right: DataFrame, at: str, start: str, end: str, width: float, on: list[str] | None = None) -> DataFrame:
+    """Pairs with start <= at < end (and equal on columns, which right names with an r_): an equi-join on position buckets of width.
+
+    Intervals are repeated for each bucket that they touch; choose width near their usual length.
+    """
+    a = left.withColumn("bucket_", F.floor(F.col(at) / width))
+    b = right.withColumn("bucket__", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+    same = functools.reduce(operator.and_, [F.col(c) == F.col(f"r_{c}") for c in on or []], F.col("bucket_") == F.col("bucket__"))
+    return a.join(b, same & (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("bucket_", "bucket__")
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str, name: str) -> DataFrame:
+    """left with the value of the latest right row of its keys at or before it; a sorted union and one window, no pairs."""
+    both = left.withColumn("side_", F.lit(1)).unionByName(right.select(*by, at, F.col(value).alias(name), F.lit(0).alias("side_")), allowMissingColumns=True)
+    latest = F.last(name, ignorenulls=True).over(Window.partitionBy(*by).orderBy(at, "side_").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn(name, latest).filter("side_ = 1").drop("side_")
+
+
+def sessions(events: DataFrame, by: str, at: Column, gap_s: int, *tie: str) -> DataFrame:
+    """events with session, numbered from 1 for each key; a new one starts after a gap of more than gap_s seconds."""
+    order = Window.partitionBy(by).orderBy(at, *tie)
+    new = F.coalesce(at - F.lag(at).over(order) > gap_s, F.lit(True)).cast("int")
+    return events.withColumn("new_", new).withColumn("session", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new_")
+
+
+def interpolated(df: DataFrame, by: str, x: str, y: str, *tie: str) -> DataFrame:
+    """df with y filled between its known neighbours on a straight line over x; outside them it stays null."""
+    order = Window.partitionBy(by).orderBy(x, *tie)
+    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    known = F.when(F.col(y).isNotNull(), F.struct(F.col(x).cast("double").alias("x"), F.col(y).alias("y")))
+    out = df.withColumn("a_", F.last(known, ignorenulls=True).over(before)).withColumn("b_", F.first(known, ignorenulls=True).over(after))
+    line = F.col("a_.y") + (F.col("b_.y") - F.col("a_.y")) * F.try_divide(F.col(x) - F.col("a_.x"), F.col("b_.x") - F.col("a_.x"))
+    return out.withColumn(f"{y}_filled", F.coalesce(y, line)).drop("a_", "b_")
+
+
+def frontier(df: DataFrame, cost: str, gain: str, step: float) -> DataFrame:
+    """The rows that no row of lower or equal cost beats in gain (Pareto), in two passes without a global sort.
+
+    The best gain by cost bucket of width step gives what earlier buckets reach; only rows at or
+    above that are ranked within their bucket.
+    """
+    bucketed = df.withColumn("bucket_", F.floor(F.col(cost) / step))
+    best = bucketed.groupBy("bucket_").agg(F.max(gain).alias("best_"))
+    before = best.select(F.col("bucket_").alias("b_"), F.max("best_").over(Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)).alias("reach_"))
+    left = bucketed.join(before, F.col("bucket_") == F.col("b_")).filter(F.col("reach_").isNull() | (F.col(gain) > F.col("reach_")))
+    inside = F.max(gain).over(Window.partitionBy("bucket_").orderBy(cost, F.col(gain).desc()).rowsBetween(Window.unboundedPreceding, -1))
+    return left.withColumn("inside_", inside).filter(F.col("inside_").isNull() | (F.col(gain) > F.col("inside_"))).drop("bucket_", "b_", "reach_", "inside_")
+
+
+def gram(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """Sums of products of the columns and a constant 1, in one aggregate; rows with a null among them are left out."""
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns], F.lit(1.0).alias("one_")).dropna()
+    names = [*columns, "one_"]
+    sums = rows.agg(*[F.sum(F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:]]).first()
+    out, it = np.zeros((len(names), len(names))), iter(sums)
+    for i in range(len(names)):
+        for j in range(i, len(names)):
+            out[i, j] = out[j, i] = next(it) or 0.0
+    return out
+
+
+def least_squares(df: DataFrame, y: str, xs: list[str]) -> dict[str, float]:
+    """Coefficients by column, intercept and r2, from the Gram sums; the driver solves a system of len(xs) + 1."""
+    g = gram(df, [*xs, y])
+    at = [*range(len(xs)), len(xs) + 1]
+    a, b, n, sy, syy = g[np.ix_(at, at)], g[at, len(xs)], g[-1, -1], g[len(xs), -1], g[len(xs), len(xs)]
+    if n <= len(xs):
+        return {}
+    beta = np.linalg.lstsq(a, b, rcond=None)[0]
+    rest = syy - 2 * beta @ b + beta @ a @ beta
+    return dict(zip([*xs, "intercept"], map(float, beta))) | {"r2": float(1 - rest / (syy - sy * sy / n)), "n": float(n)}
+
+
+def power_law(df: DataFrame, n: str, d: str, loss: str, grid: list[float]) -> dict[str, float]:
+    """loss = e + a n^-alpha + b d^-beta over a grid of exponents, each solved in closed form; all sums come from one aggregate.
+
+    at_edge tells that the best exponents lie on the grid's border, where they are not identified.
+    """
+    terms = {f"n{i}": F.pow(F.col(n), -x) for i, x in enumerate(grid)} | {f"d{i}": F.pow(F.col(d), -x) for i, x in enumerate(grid)}
+    g = gram(df.filter((F.col(n) > 0) & (F.col(d) > 0)).select(*[c.alias(k) for k, c in terms.items()], F.col(loss).alias("y_")), [*terms, "y_"])
+    m, y = len(grid), 2 * len(grid)
+    best = None
+    for i in range(m):
+        for j in range(m):
+            at = [i, m + j, y + 1]
+            beta = np.linalg.lstsq(g[np.ix_(at, at)], g[at, y], rcond=None)[0]
+            rest = g[y, y] - 2 * beta @ g[at, y] + beta @ g[np.ix_(at, at)] @ beta
+            if best is None or rest < best[0]:
+                best = (rest, i, j, beta)
+    rest, i, j, (a, b, e) = best
+    return {"e": float(e), "a": float(a), "alpha": grid[i], "b": float(b), "beta": grid[j], "sse": float(rest), "at_edge": bool({i, j} & {0, m - 1})}
+
+
+def fuzzy_matches(left: DataFrame, right: DataFrame, name: str, other: str, most: int) -> DataFrame:
+    """Pairs whose names, in lower case without punctuation, are within most edits; blocked on the first three letters."""
+    def plain(c: str) -> Column:
+        return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+
+    a = left.withColumn("plain_", plain(name)).withColumn("block_", F.substring("plain_", 1, 3))
+    b = right.withColumn("plain__", plain(other)).withColumn("block__", F.substring("plain__", 1, 3))
+    return a.join(b, (F.col("block_") == F.col("block__")) & (F.levenshtein("plain_", "plain__") <= most)).drop("plain_", "plain__", "block_", "block__")

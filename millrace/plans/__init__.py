@@ -1,9 +1,11 @@
 """Registered queries and their SQL."""
 
+from . import corpus, relational, series
 
-def queries():
-    return {}
 
+def queries() -> dict:
+    return relational.QUERIES | series.QUERIES | corpus.QUERIES
 
-def oracle_sql():
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return relational.SQL | series.SQL | corpus.SQL

@@ -1 +1,71 @@
+"""Readers for the file kinds of training-data collections; each checks what Spark alone would misread."""
 
+from __future__ import annotations
+
+import json
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+POINTER = "version https://git-lfs.github.com/spec/v1"
+CATALOG = "problem string, file string, bytes long, source string, note string"
+
+
+class PointerError(ValueError):
+    """A data file is a pointer to large-file storage and holds no data."""
+
+
+def refuse_pointers(spark: SparkSession, path: str) -> None:
+    """Raises PointerError if a file at path begins as a storage pointer; reads no more than lines that do."""
+    found = spark.read.text(path).filter(F.col("value") == POINTER).select(F.col("_metadata.file_name").alias("name")).first()
+    if found:
+        raise PointerError(f"{found.name} is a pointer to large-file storage, not data")
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, file_name: str | None = None) -> DataFrame:
+    """CSV with a header, quoted line feeds and doubled quotes; strings are trimmed of white space, file_name adds that column."""
+    df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False).csv(path)
+    out = df.select(*[F.regexp_replace(F.col(f"`{f.name}`"), r"^\s+|\s+$", "").alias(f.name) if f.dataType.simpleString() == "string" else F.col(f"`{f.name}`") for f in df.schema], *([F.col("_metadata.file_name").alias(file_name)] if file_name else []))
+    return out
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON array of file entries; source and note may be missing."""
+    return spark.read.schema(CATALOG).option("multiLine", True).json(path)
+
+
+def missing_files(catalog: DataFrame, folder: str) -> DataFrame:
+    """Entries of a catalog with state present, missing or other_size; contents are not read."""
+    files = catalog.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    joined = catalog.join(files, F.col("path").endswith(F.concat(F.lit("/"), F.col("file"))), "left")
+    state = F.when(F.col("length").isNull(), "missing").when(F.col("length") != F.col("bytes"), "other_size").otherwise("present")
+    return joined.select("problem", "file", "bytes", "length", state.alias("state"))
+
+
+def domain_columns(df: DataFrame, key: str, prefix: str, suffix: str = "") -> DataFrame:
+    """A wide table (a column for each domain) as key, domain, value; prefix and suffix are taken off the names."""
+    wide = [c for c in df.columns if c != key]
+    renamed = df.select(key, *[F.col(f"`{c}`").cast("double").alias(c.removeprefix(prefix).removesuffix(suffix).replace("/", "_")) for c in wide])
+    return renamed.unpivot([key], [c for c in renamed.columns if c != key], "domain", "value")
+
+
+def read_cards(spark: SparkSession, path: str) -> DataFrame:
+    """Markdown cards with a fenced JSON object of results by task: file_name, task, metric, value (null for "N/A").
+
+    The group "all", which repeats every entry, is left out.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value")
+
+    def parse(batches):
+        for pdf in batches:
+            rows = []
+            for name, text in zip(pdf["file_name"], pdf["value"]):
+                for block in re.findall(r"```(?:python|json)?\s*(\{.*?\})\s*```", text, re.S):
+                    for task, metrics in json.loads(block).items():
+                        if task != "all" and isinstance(metrics, dict):
+                            rows += [(name, task, m, v if isinstance(v, (int, float)) else None) for m, v in metrics.items() if isinstance(v, (int, float)) or v == "N/A"]
+            yield pd.DataFrame(rows, columns=["file_name", "task", "metric", "value"]).astype({"value": "float64"})
+
+    return whole.mapInPandas(parse, "file_name string, task string, metric string, value double").withColumn("value", F.when(~F.isnan("value"), F.col("value")))
