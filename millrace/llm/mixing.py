@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import fresh, key60, n_words, staged
 
 HASH_BITS, LEVEL_BITS = 60, 12
+#: Tables of sources are broadcast up to so many rows; beyond it, Spark shuffles.
+BROADCAST_SOURCES = 10_000
 
 
 @dataclass(frozen=True)
@@ -52,7 +54,7 @@ def _thresholds(rows: DataFrame, rests: dict[int, float]) -> dict[int, int]:
     while open_:
         level += 1
         shift = HASH_BITS - level * LEVEL_BITS
-        ask = spark.createDataFrame([(n, p, float(r)) for n, (p, r) in open_.items()], "ask long, prefix long, rest double")
+        ask = _source_table(spark, [(n, p, float(r)) for n, (p, r) in open_.items()], "ask long, prefix long, rest double")
         part = part.join(ask, (F.col("number") == F.col("ask")) & (F.shiftright("hash", shift + LEVEL_BITS) == F.col("prefix")))
         buckets = part.groupBy("number", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.first("rest").alias("rest"))
         before = F.sum("size").over(Window.partitionBy("number").orderBy("bucket")) - F.col("size")
@@ -81,12 +83,17 @@ def plan_mix(rows: DataFrame, weight_of, share: float, most: float) -> list[MixP
     targets = fill_targets(sizes, weights, share * sum(sizes.values()), most)
     passes = {s: int(targets[s] // sizes[s]) if sizes[s] else 0 for s in order}
     rest = {i: targets[s] - passes[s] * sizes[s] for i, s in enumerate(order) if sizes[s] and targets[s] > passes[s] * sizes[s]}
-    numbers = rows.sparkSession.createDataFrame([(s, i) for i, s in enumerate(order) if i in rest], "of string, number long")
+    numbers = _source_table(rows.sparkSession, [(s, i) for i, s in enumerate(order) if i in rest], "of string, number long")
     numbered = rows.join(numbers, F.col("source").eqNullSafe(F.col("of"))).select("number", "hash", "size")
     edges = _thresholds(numbered, rest) if rest else {}
     return [MixPlan(s, sizes[s], targets[s], passes[s], edges.get(i, 0)) for i, s in enumerate(order)]
 
 
+def _source_table(spark, rows: list[tuple], schema: str) -> DataFrame:
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table
+
+
 def cyclic_weights(cycle: tuple = (3, 1, 2)):
     return lambda sources: [cycle[i % len(cycle)] for i in range(len(sources))]
 
@@ -104,12 +111,12 @@ def mix(docs: DataFrame, weight_of=None, share: float = 1.5, most: float = 2.0)
     Null text has size 0. A null source is a source of its own, the last. Rows alike in id and
     text have the same hash and are in or out together. An empty table gives an empty result.
     Columns other than doc_id, text and source are not used. The sources (one row each) must fit
-    the driver; the table of their plans is broadcast only if Spark finds it small.
+    the driver; the table of their plans is broadcast up to BROADCAST_SOURCES rows.
     """
     slim = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), document_hash(F.col("doc_id"), F.col("text")).alias("hash"), n_words(F.col("text")).alias("size"))
     slim = staged(slim, "mix")
     plans = plan_mix(slim.select("source", "hash", "size"), weight_of or cyclic_weights(), share, most)
-    table = slim.sparkSession.createDataFrame([(p.source, p.size, p.target, p.passes, p.threshold) for p in plans], "of string, source_size long, target double, passes long, threshold long")
+    table = _source_table(slim.sparkSession, [(p.source, p.size, p.target, p.passes, p.threshold) for p in plans], "of string, source_size long, target double, passes long, threshold long")
     copies = F.col("passes") + (F.col("hash") < F.col("threshold")).cast("long")
     return slim.join(table, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
@@ -119,7 +126,7 @@ def mixed_documents(docs: DataFrame, weight_of=None, share: float = 1.5, most: f
     h, z, n, of = (fresh(docs, c) for c in ("mix_hash", "mix_size", "mix_copies", "mix_source"))
     slim = staged(docs.select(F.col("source").cast("string").alias("source"), document_hash(F.col("doc_id"), F.col("text")).alias("hash"), n_words(F.col("text")).alias("size")), "mix")
     plans = plan_mix(slim, weight_of or cyclic_weights(), share, most)
-    table = docs.sparkSession.createDataFrame([(p.source, p.passes, p.threshold) for p in plans], f"{of} string, {z} long, {h} long")
+    table = _source_table(docs.sparkSession, [(p.source, p.passes, p.threshold) for p in plans], f"{of} string, {z} long, {h} long")
     copies = F.col(z) + (document_hash(docs["doc_id"], docs["text"]) < F.col(h)).cast("long")
     kept = docs.join(table, docs["source"].cast("string").eqNullSafe(F.col(of))).withColumn(n, copies).filter(F.col(n) > 0)
     return kept.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

@@ -129,13 +129,13 @@ def judge(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataF
 
     Where docs has a column of such a name, the new one ends in an underscore. Null or empty
     texts have no words and fail as short. A null host has no verdict: its documents are judged
-    alone. Rows alike are judged each for itself. An empty table gives an empty result.
+    alone. Rows alike are judged each for itself. An empty table gives an empty result. Texts
+    are measured in two passes, one for the hosts and one for the result, so none is stored.
     """
     q, r, bf, hf, kept = (fresh(docs, c) for c in ("quality", "rules", "base_failed", "host_failed", "kept"))
-    judged = docs.withColumn(q, measures(F.col("text")))
     failures = rule_failures(q)
-    judged = staged(judged.withColumn(r, F.struct(*[c.alias(n) for n, c in failures.items()])), "judged")
-    flat = judged.select(F.col(host).cast("string").alias("host"), f"{r}.*")
+    judged = docs.withColumn(q, measures(F.col("text"))).withColumn(r, F.struct(*[c.alias(n) for n, c in failures.items()]))
+    flat = staged(judged.select(F.col(host).cast("string").alias("host"), f"{r}.*"), "host-failures")
     verdicts = host_verdicts(flat, "host", list(failures), max_rate).filter("host_failed").select(F.col("host").alias(hf))
     of = fresh(docs, "verdict_host")
     joined = judged.join(verdicts.withColumnRenamed(hf, of), judged[host].cast("string") == F.col(of), "left")

@@ -96,16 +96,17 @@ def scan(docs: DataFrame) -> DataFrame:
     Positions count characters of the whole text, ends excluded; kind numbers index KINDS. A
     null or empty text has no spans. Rows alike are scanned each for itself; an empty table gives
     an empty result. A column of docs that is called found stays, and the new one ends in an underscore.
+    Only documents with a match of a strong pattern are stored on the way.
     """
     row, raw, out = (fresh(docs, c) for c in ("scan_row", "scan_raw", "found"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    stored = staged(docs.withColumn(raw, candidates(text)).withColumn(row, F.monotonically_increasing_id()), "scanned")
-    hits = stored.filter(F.size(raw) > 0).select(F.col(row).alias("row"), F.col(raw).alias("found"))
-    spans = link(staged(_placed(hits), "spans"))
+    hit = text.rlike(PATTERNS["assign"][0]) | text.rlike(PATTERNS["access"][0]) | text.rlike(PATTERNS["hex"][0])
+    stored = staged(docs.filter(hit).withColumn(raw, candidates(text)).withColumn(row, F.monotonically_increasing_id()), "scanned")
+    spans = link(staged(_placed(stored.select(F.col(row).alias("row"), F.col(raw).alias("found"))), "spans"))
     listed = spans.groupBy(F.col("row").alias("of_row_")).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans_"))
     none = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")
-    joined = stored.join(listed, stored[row] == F.col("of_row_"), "left")
-    return joined.withColumn(out, F.coalesce("spans_", none)).drop(row, raw, "of_row_", "spans_")
+    joined = stored.join(listed, stored[row] == F.col("of_row_"), "left").withColumn(out, F.coalesce("spans_", none))
+    return docs.filter(~hit).withColumn(out, none).union(joined.select(*docs.columns, out))
 
 
 def report(docs: DataFrame) -> DataFrame:
