@@ -5,6 +5,8 @@ Neighbours in an order are candidates, with their longest common prefix for a de
 deep to shallow: each document is first verified against its best neighbour, then neighbours
 in groups that are still apart, and at last a region (a prefix of least depth) is opened in full
 only if its documents are still in more than one group; so the depth follows the region.
+An open region gives the best partner of each document, then what is still apart: documents with
+the groups that hold a likely partner, which are met in blocks, never written as pairs.
 Every link is confirmed on full shingle sets.
 """
 
@@ -24,6 +26,8 @@ WORDS = 5
 TREES, DEPTH = 32, 4
 HASHES = TREES * DEPTH
 HUB, REGION = 256, 512
+#: Rows, and characters of text, of one block when documents meet a group.
+BLOCK, BLOCK_CHARS = 128, 8_000_000
 #: Rows of a table of two longs up to which it is broadcast; beyond it, Spark shuffles both sides.
 BROADCAST_ROWS = 500_000
 _MIX = np.random.default_rng(7)
@@ -146,6 +150,12 @@ def _neighbours(batches):
 MEMBERS = "tree int, region long, node long, before long, depth int"
 
 
+def _near(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two ascending sets, x not empty, share percent of their union."""
+    both = np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(percent: int):
     """Sorted rows (hub, chunk, role, node, text), the hub's own row first, to the pairs whose full sets are near."""
 
@@ -161,10 +171,8 @@ def _confirm(percent: int):
                     x = shingles[ends[k - i] - counts[k - i] : ends[k - i]]
                     if roles[k] == 0:
                         hub, own = (hubs[k], chunks[k]), x
-                    elif hub == (hubs[k], chunks[k]) and len(own):
-                        both = np.count_nonzero(own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x)
-                        if 100 * both >= percent * (len(own) + len(x) - both):
-                            found.append((hubs[k], nodes[k]))
+                    elif hub == (hubs[k], chunks[k]) and len(own) and _near(own, x, percent):
+                        found.append((hubs[k], nodes[k]))
             u, v = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
@@ -197,28 +205,67 @@ def _alike(least: float):
     return task
 
 
-def _opened(least: float):
-    """Sorted rows (tree, region, i, j, left, right, node, root, signature) to the pairs of left and right in different groups that look alike.
+def _opened(least: float, best: bool):
+    """Sorted rows (tree, region, i, j, left, right, minor, node, root, signature) to what left rows have alike in other groups.
 
-    A pair that shares regions in several trees is given by the first of them only.
+    With best, that is node, the row that agrees most, and the agreement; else node and the root of
+    each such group, and of two minor rows only the one of the greater root is given. A pair that
+    shares regions in several trees counts in the first of them only.
     """
 
     def task(batches):
         for group in sorted_groups(batches, 4):
             tree = group.column(0)[0].as_py()
-            left, right = (group.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in (4, 5))
-            node, root = group.column(6).to_numpy(), group.column(7).to_numpy()
-            s = np.frombuffer(b"".join(group.column(8).to_pylist()), "<u4").reshape(-1, HASHES)
+            left, right, minor = (group.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in (4, 5, 6))
+            node, root = group.column(7).to_numpy(), group.column(8).to_numpy()
+            s = np.frombuffer(b"".join(group.column(9).to_pylist()), "<u4").reshape(-1, HASHES)
             r, out = np.flatnonzero(right), []
             for a in np.flatnonzero(left):
                 b = r[root[r] != root[a]]
                 same = s[b] == s[a]
-                first = same.reshape(-1, TREES, DEPTH).all(axis=2).argmax(axis=1)
-                b = b[(same.mean(axis=1) >= least) & (first == tree)]
-                out += [(min(node[a], node[x]), max(node[a], node[x])) for x in b]
+                agree = same.mean(axis=1)
+                ok = (agree >= least) & (same.reshape(-1, TREES, DEPTH).all(axis=2).argmax(axis=1) == tree)
+                b, agree = b[ok], agree[ok]
+                if best and len(b):
+                    k = np.lexsort((node[b], -agree))[0]
+                    out.append((node[a], node[b[k]], agree[k]))
+                elif not best:
+                    out += [(node[a], x, 0.0) for x in np.unique(root[b[~minor[b] | (root[b] < root[a])]])]
             if out:
-                u, v = zip(*set(out))
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                u, v, agree = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(agree, pa.float64())], ["node", "other", "agree"])
+
+    return task
+
+
+OPENED = "node long, other long, agree double"
+
+
+def _met(percent: int, least: float):
+    """Sorted rows (root, i, j, role, node, signature, text), those that ask (role 0) first, to one link of each that has any here."""
+
+    def task(batches):
+        key, asking = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
+            roles, nodes = (batch.column(c).to_pylist() for c in (3, 4))
+            signed, texts, found = batch.column(5).to_pylist(), batch.column(6).to_pylist(), []
+            for i, j in slices(texts):
+                shingles, counts = shingle_sets(texts[i:j])
+                ends = np.cumsum(counts)
+                for k in range(i, j):
+                    x, s = shingles[ends[k - i] - counts[k - i] : ends[k - i]], np.frombuffer(signed[k], "<u4")
+                    if keys[k] != key:
+                        key, asking = keys[k], []
+                    if roles[k] == 0:
+                        asking.append((nodes[k], s, x.copy()))
+                    elif asking:
+                        alike = np.flatnonzero((np.stack([a[1] for a in asking]) == s).mean(axis=1) >= least)
+                        linked = {a for a in alike.tolist() if _near(asking[a][2], x, percent)}
+                        found += [(asking[a][0], nodes[k]) for a in linked]
+                        asking = [a for n, a in enumerate(asking) if n not in linked]
+            u, v = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return task
 
@@ -231,11 +278,12 @@ def _roots(nodes: DataFrame, roots: DataFrame | None, column: str = "node", name
     return nodes.join(to, F.col(column) == F.col("node_of_root"), "left").withColumn(name, F.coalesce("root_found", column)).drop("node_of_root", "root_found")
 
 
-def _regions_open(members: DataFrame, roots: DataFrame, signed: DataFrame, least: float, parts: int) -> DataFrame:
-    """Pairs in different groups within the regions that hold more than one group.
+def _regions_open(members: DataFrame, roots: DataFrame, signed: DataFrame, least: float, parts: int, best: bool) -> DataFrame:
+    """What _opened gives for the regions that hold more than one group.
 
-    All such pairs have a member outside the region's largest group, so those members are met with
-    all others, in blocks: a region that is one group but for a few costs a few times its size.
+    All pairs in different groups have a member outside the region's largest group, so those members
+    (minor) are met with all others, in blocks: a region that is one group but for a few costs a few
+    times its size.
     """
     grouped = staged(_roots(members.select("tree", "region", "node").distinct(), roots), "members-roots")
     by_group = grouped.groupBy("tree", "region", "root").agg(F.count("*").alias("n"))
@@ -243,13 +291,47 @@ def _regions_open(members: DataFrame, roots: DataFrame, signed: DataFrame, least
     regions = regions.select(F.col("tree").alias("t"), F.col("region").alias("g"), F.col("most.root").alias("major"), F.expr(f"cast(ceil(size / {REGION}) as int)").alias("blocks"))
     rows = grouped.join(regions, (F.col("tree") == F.col("t")) & (F.col("region") == F.col("g"))).drop("t", "g")
     rows = rows.withColumn("minor", F.col("root") != F.col("major")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    whole = rows.filter("blocks = 1").select("tree", "region", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("minor").alias("left"), F.lit(True).alias("right"), "node", "root")
+    of = ["minor", "node", "root"]
+    whole = rows.filter("blocks = 1").select("tree", "region", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("minor").alias("left"), F.lit(True).alias("right"), *of)
     large = rows.filter("blocks > 1").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    as_left = large.filter("minor").select("tree", "region", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"), "node", "root")
-    as_right = large.select("tree", "region", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"), "node", "root")
+    as_left = large.filter("minor").select("tree", "region", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"), *of)
+    as_right = large.select("tree", "region", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"), *of)
     key = ["tree", "region", "i", "j"]
     dealt = whole.union(as_left).union(as_right).join(signed.withColumnRenamed("node", "signed"), F.col("node") == F.col("signed")).drop("signed")
-    return dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_opened(least), "u long, v long").distinct()
+    return dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_opened(least, best), OPENED)
+
+
+def _checked(df: DataFrame) -> DataFrame:
+    """A written table for a join: broadcast up to BROADCAST_ROWS."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _groups_met(asked: DataFrame, grouped: DataFrame, texts: DataFrame, signed: DataFrame, percent: int, least: float, parts: int) -> DataFrame:
+    """Links of the documents asked (node, root) with members of that group; grouped: node, root of all documents.
+
+    Both sides are cut into blocks, and each block of one meets each of the other. A document
+    needs one link with a group, so its search in a block ends with the first.
+    """
+    asked = staged(asked, "asked")
+    members = staged(grouped.join(_checked(staged(asked.select("root").distinct(), "asked-roots")), "root", "left_semi"), "group-members")
+    needed = staged(members.select("node").union(asked.select("node")).distinct(), "group-needed")
+    held = texts.join(_checked(needed), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "text")
+    held = staged(held.join(signed, "node"), "group-texts")
+    asked, members = asked.join(held, "node"), members.join(held, "node")
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias(name))
+
+    deal = _checked(staged(blocks(asked, "rows_i").join(blocks(members, "rows_j"), "root"), "group-blocks"))
+
+    def place(name: str):
+        return F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
+
+    of = ["node", "signature", "text"]
+    asking = asked.join(deal, "root").select("root", place("rows_i").alias("i"), F.explode(F.expr("sequence(0, rows_j - 1)")).alias("j"), F.lit(0).alias("role"), *of)
+    others = members.join(deal, "root").select("root", F.explode(F.expr("sequence(0, rows_i - 1)")).alias("i"), place("rows_j").alias("j"), F.lit(1).alias("role"), *of)
+    rows = asking.union(others).repartitionByRange(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "role")
+    return staged(rows.mapInArrow(_met(percent, least), "u long, v long"), "links")
 
 
 def near_duplicates(docs: DataFrame, row: str, percent: int = 75, margin: float = 0.16) -> DataFrame:
@@ -294,7 +376,13 @@ def near_duplicates(docs: DataFrame, row: str, percent: int = 75, margin: float
     links = staged(links.union(confirmed(texts, alike, percent, parts)), "links")
     roots = components(links)
 
-    links = staged(links.union(confirmed(texts, _regions_open(members, roots, signed, least, parts), percent, parts)), "links")
+    opened = _regions_open(members, roots, signed, least, parts, best=True)
+    top = opened.groupBy("node").agg(F.max(F.struct("agree", "other")).alias("top")).select(F.least("node", "top.other").alias("u"), F.greatest("node", "top.other").alias("v")).distinct()
+    links = staged(links.union(confirmed(texts, top, percent, parts)), "links")
+    roots = components(links)
+
+    asked = _regions_open(members, roots, signed, least, parts, best=False).select("node", F.col("other").alias("root")).distinct()
+    links = staged(links.union(_groups_met(asked, _roots(reps.select("node"), roots), texts, signed, percent, least, parts)), "links")
     roots = components(links)
 
     classes = staged(_roots(reps, roots).select("f1", "f2", "root", "first"), "class-roots")
