@@ -282,20 +282,28 @@ def _regions_open(members: DataFrame, roots: DataFrame, signed: DataFrame, least
     """What _opened gives for the regions that hold more than one group.
 
     All pairs in different groups have a member outside the region's largest group, so those members
-    (minor) are met with all others, in blocks: a region that is one group but for a few costs a few
-    times its size.
+    (minor) are met with all others, in blocks. Minor members are dealt over as many blocks as they
+    fill alone, so a region that is one group but for a few is given once, not once for each of its blocks.
     """
     grouped = staged(_roots(members.select("tree", "region", "node").distinct(), roots), "members-roots")
     by_group = grouped.groupBy("tree", "region", "root").agg(F.count("*").alias("n"))
     regions = by_group.groupBy("tree", "region").agg(F.count("*").alias("groups"), F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most")).filter("groups > 1")
-    regions = regions.select(F.col("tree").alias("t"), F.col("region").alias("g"), F.col("most.root").alias("major"), F.expr(f"cast(ceil(size / {REGION}) as int)").alias("blocks"))
+    counts = [F.expr(f"cast(ceil({n} / {REGION}) as int)").alias(name) for n, name in (("size", "blocks"), ("(size - most.n)", "minor_blocks"))]
+    regions = regions.select(F.col("tree").alias("t"), F.col("region").alias("g"), F.col("most.root").alias("major"), *counts)
     rows = grouped.join(regions, (F.col("tree") == F.col("t")) & (F.col("region") == F.col("g"))).drop("t", "g")
-    rows = rows.withColumn("minor", F.col("root") != F.col("major")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("minor", F.col("root") != F.col("major"))
     of = ["minor", "node", "root"]
     whole = rows.filter("blocks = 1").select("tree", "region", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("minor").alias("left"), F.lit(True).alias("right"), *of)
-    large = rows.filter("blocks > 1").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    as_left = large.filter("minor").select("tree", "region", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"), *of)
-    as_right = large.select("tree", "region", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"), *of)
+    large = rows.filter("blocks > 1")
+
+    def place(name: str):
+        return F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
+
+    def each(name: str):
+        return F.explode(F.expr(f"sequence(0, {name} - 1)"))
+
+    as_left = large.filter("minor").select("tree", "region", place("minor_blocks").alias("i"), each("blocks").alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"), *of)
+    as_right = large.select("tree", "region", each("minor_blocks").alias("i"), place("blocks").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"), *of)
     key = ["tree", "region", "i", "j"]
     dealt = whole.union(as_left).union(as_right).join(signed.withColumnRenamed("node", "signed"), F.col("node") == F.col("signed")).drop("signed")
     return dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_opened(least, best), OPENED)
