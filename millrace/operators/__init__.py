@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import functools
+import math
 import operator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,3 +114,48 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, name: str, other: str, most
     a = left.withColumn("plain_", plain(name)).withColumn("block_", F.substring("plain_", 1, 3))
     b = right.withColumn("plain__", plain(other)).withColumn("block__", F.substring("plain__", 1, 3))
     return a.join(b, (F.col("block_") == F.col("block__")) & (F.levenshtein("plain_", "plain__") <= most)).drop("plain_", "plain__", "block_", "block__")
+
+
+def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, *keep: str, block: int = 8192) -> DataFrame:
+    """For every query the k rows of greatest cosine, exactly: query_id, rank (from 1), key, keep and sim (rounded to 6 places).
+
+    key is distinct and vectors are of one length; null and zero vectors have no direction and are left
+    out. Equal sims rank by key. Queries and rows are cut into blocks, each pair of blocks gives
+    its k best rows by query, and these are merged by query: no task holds more than two blocks.
+    """
+    dot = F.aggregate(F.transform(vector, lambda v: v.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    rows, queries = (df.filter(F.col(key).isNotNull() & (dot > 0)) for df in (rows, queries))
+    n_rows, n_queries = max(math.ceil(rows.count() / block), 32), max(math.ceil(queries.count() / block), 1)
+
+    def cut(number: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(number)).cast("int")
+
+    def each(number: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
+
+    left = rows.select(key, *keep, F.col(vector).alias("v_"), cut(n_rows).alias("rb_"), each(n_queries).alias("qb_"))
+    right = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("v_"), cut(n_queries).alias("qb_"), each(n_rows).alias("rb_"))
+    fields = {f.name: f.dataType.simpleString() for f in [*left.schema.fields, *right.schema.fields]}
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in ["query_id", key, *keep]) + ", sim double"
+
+    def unit(table: pa.Table) -> np.ndarray:
+        flat = pa.compute.list_flatten(table.column("v_")).to_numpy().astype(np.float64).reshape(table.num_rows, -1)
+        return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        a = a.sort_by(key)
+        names = ["query_id", key, *keep]
+        if not a.num_rows or not b.num_rows:
+            return pa.table([b.column("query_id").slice(0, 0), *[a.column(c).slice(0, 0) for c in names[1:]], pa.array([], pa.float64())], [*names, "sim"])
+        x, y, parts = unit(a), unit(b), []
+        for at in range(0, b.num_rows, 256):
+            sims = np.round(y[at : at + 256] @ x.T, 6)
+            top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            found = a.take(pa.array(top.ravel()))
+            query = b.column("query_id").take(pa.array(np.repeat(np.arange(at, at + len(sims)), top.shape[1])))
+            parts.append(pa.table([query, *[found.column(c) for c in names[1:]], pa.array(np.take_along_axis(sims, top, 1).ravel())], [*names, "sim"]))
+        return pa.concat_tables(parts)
+
+    found = left.groupBy("rb_", "qb_").cogroup(right.groupBy("rb_", "qb_")).applyInArrow(best, schema)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("sim").desc(), key))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", key, *keep, "sim")

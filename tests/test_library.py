@@ -2,10 +2,11 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace import functions, operators, sources, streaming
+from millrace import functions, operators, plans, sources, streaming
 
 
 def test_scores_above_chance(spark):
@@ -92,3 +93,17 @@ def test_late_rows_are_dropped(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, value double, event_type string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     rows = streaming.drained(streaming.windowed(stream, "1 hour"), "append").collect()
     assert [(r.n, r.total) for r in rows] == [(1, 1.0)]
+
+
+def test_nearest_answers_every_query(spark, tmp_path):
+    x = np.random.default_rng(3).normal(size=(90, 8)).astype(np.float32)
+    x[7] = x[33] = x[40]
+    rows = [(i, [float(v) for v in x[i]] if i not in (0, 9) else None if i == 9 else [0.0] * 8, i % 3 or None) for i in range(90)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    known = [i for i in range(90) if i not in (0, 9)]
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = {(q, rank, i, rows[i][2], s) for q in (20, 40, 60, 80) for rank, (s, i) in enumerate(sorted(((round(float(u[q] @ u[i]), 6), i) for i in known), key=lambda p: (-p[0], p[1]))[:20], 1)}
+    assert {tuple(r) for r in plans.queries()["vector_cosine_search"](spark, str(tmp_path)).collect()} == want
+    df = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {tuple(r) for r in operators.nearest(df.filter("vec_id % 20 = 0"), df, "vec_id", "embedding", 20, "label", block=2).collect()} == want
+    assert operators.nearest(df.limit(0), df, "vec_id", "embedding", 20).count() == 0
