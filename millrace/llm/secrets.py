@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from .common import fresh, staged
 
 # Kinds in the order in which spans are listed, their patterns, the group that
-# must be so long, and the least length.
+# must be so long, and the least length. A key may follow "=" (NAME=value), but no run of its own
+# letters, nor one that goes on with "_" or "-"; what "=" follows may be padded and longer.
 KINDS = ["assign", "access", "hex", "key", "endpoint"]
 PATTERNS = {
     "assign": (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     "access": (r"AKIA[A-Z0-9]+", 0, 16),
     "hex": (r"[0-9a-f]{32,}", 0, 32),
-    "key": (r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])", 0, 40),
+    "key": (r"(?<![A-Za-z0-9+/])(?<![A-Za-z0-9+/][_-])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])", 0, 40),
     "endpoint": (r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/?&=%+-]*)?", 0, 8),
 }
 BASE = KINDS[:3]
