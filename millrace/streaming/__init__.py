@@ -18,9 +18,15 @@ def folder(spark: SparkSession) -> str:
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The files of a table as a stream, with the schema of the table and ts as TIMESTAMP, which watermarks need."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    df = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").load(sf_dir)
+    """The files of a table as a stream, with the schema of the table and ts as TIMESTAMP, which watermarks need.
+
+    A table is a folder of part files or a single file; Spark streams folders only, so a single file is picked from its own.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    many = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory()
+    df = reader.parquet(path) if many else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

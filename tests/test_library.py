@@ -107,3 +107,11 @@ def test_nearest_answers_every_query(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
     assert {tuple(r) for r in operators.nearest(df.filter("vec_id % 20 = 0"), df, "vec_id", "embedding", 20, "label", block=2).collect()} == want
     assert operators.nearest(df.limit(0), df, "vec_id", "embedding", 20).count() == 0
+
+
+def test_streams_read_folders_of_part_files(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    assert len(list((tmp_path / "events.parquet").glob("part-*"))) == 5
+    for name in ("stream_tumbling", "stream_sliding", "stream_session", "stream_dedup"):
+        got, want = (sorted(map(tuple, plans.queries()[name](spark, d).collect())) for d in (str(tmp_path), sf_dir))
+        assert got == want and got
