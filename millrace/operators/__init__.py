@@ -106,14 +106,54 @@ def power_law(df: DataFrame, n: str, d: str, loss: str, grid: list[float]) -> di
     return {"e": float(e), "a": float(a), "alpha": grid[i], "b": float(b), "beta": grid[j], "sse": float(rest), "at_edge": bool({i, j} & {0, m - 1})}
 
 
-def fuzzy_matches(left: DataFrame, right: DataFrame, name: str, other: str, most: int) -> DataFrame:
-    """Pairs whose names, in lower case without punctuation, are within most edits; blocked on the first three letters."""
+def _segments(n: Column, most: int) -> list[tuple[Column, Column]]:
+    """Start (from 0) and length of the most + 1 segments of a name of n letters."""
+    cuts = [F.floor(n * i / (most + 1)).cast("int") for i in range(most + 2)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def fuzzy_matches(left: DataFrame, right: DataFrame, name: str, other: str, most: int, group: int = 1024) -> DataFrame:
+    """Pairs whose names, in lower case without punctuation, are within most edits; all of them, and each pair of rows once.
+
+    Of most + 1 segments of a name, one at least stands unchanged in any name within most edits, moved by most
+    letters or fewer; distinct names that share one are compared. Segments that more than group names
+    have are dealt over blocks of about that many. Null names match nothing.
+    """
     def plain(c: str) -> Column:
         return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
 
-    a = left.withColumn("plain_", plain(name)).withColumn("block_", F.substring("plain_", 1, 3))
-    b = right.withColumn("plain__", plain(other)).withColumn("block__", F.substring("plain__", 1, 3))
-    return a.join(b, (F.col("block_") == F.col("block__")) & (F.levenshtein("plain_", "plain__") <= most)).drop("plain_", "plain__", "block_", "block__")
+    def key(length: Column, i: int, piece: Column) -> Column:
+        return F.struct(length.alias("length"), F.lit(i).alias("i"), piece.alias("piece"))
+
+    def moved(length: Column) -> Column:
+        keys = []
+        for i, (start, size) in enumerate(_segments(length, most)):
+            for by in range(-most, most + 1):
+                inside = (start + by >= 0) & (start + by + size <= F.length("x"))
+                keys.append(F.when(inside, key(length, i, F.substring(F.col("x"), start + by + 1, size))))
+        return F.filter(F.array(*keys), lambda k: k.isNotNull())
+
+    n = F.length("x")
+    a = left.select(plain(name).alias("x")).filter("x is not null").distinct()
+    b = right.select(plain(other).alias("x")).filter("x is not null").distinct()
+    a = a.select("x", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(n - most, F.lit(0)), n + most), moved)))).alias("k"))
+    b = b.select("x", F.explode(F.array(*[key(n, i, F.substring(F.col("x"), start + 1, size)) for i, (start, size) in enumerate(_segments(n, most))])).alias("k"))
+
+    def blocks(df: DataFrame) -> DataFrame:
+        return df.groupBy("k").agg(F.ceil(F.count("*") / group).alias("n")).filter("n > 1")
+
+    na, nb = blocks(a).select("k", F.col("n").alias("na")), blocks(b).select("k", F.col("n").alias("nb"))
+    hot = F.broadcast(na.join(nb, "k", "full").select("k", F.coalesce("na", F.lit(1)).alias("na"), F.coalesce("nb", F.lit(1)).alias("nb")))
+
+    def dealt(df: DataFrame, own: str, others: str) -> DataFrame:
+        cut = df.join(hot, "k", "left").fillna(1, ["na", "nb"])
+        mine, theirs = F.pmod(F.xxhash64("x"), F.col(own)), F.sequence(F.lit(0).cast("long"), F.col(others) - 1)
+        return cut.withColumn(f"{own}_", mine).withColumn(f"{others}_", F.explode(theirs)).drop("na", "nb")
+
+    a, b = dealt(a, "na", "nb").withColumnRenamed("x", "plain_"), dealt(b, "nb", "na").withColumnRenamed("x", "plain__")
+    near = F.levenshtein("plain_", "plain__") <= most
+    pairs = a.join(b, ["k", "na_", "nb_"]).filter(near).select("plain_", "plain__").distinct()
+    return left.withColumn("plain_", plain(name)).join(pairs, "plain_").join(right.withColumn("plain__", plain(other)), "plain__").drop("plain_", "plain__")
 
 
 def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, *keep: str, block: int = 8192) -> DataFrame:

@@ -60,6 +60,26 @@ def test_fuzzy(spark):
     assert {(r.n, r.m) for r in operators.fuzzy_matches(a, b, "n", "m", 0).collect()} == {("GPT-2 XL", "gpt2-xl"), ("Pythia 12B", "pythia-1.2b")}
 
 
+@pytest.mark.parametrize("most, group", [(0, 1024), (1, 1024), (2, 1024), (2, 3)])
+def test_fuzzy_finds_edits_anywhere(spark, most, group):
+    rng = np.random.default_rng(5)
+    names = ["", "a", "LLaMA", "Lama", "xLLaMA", "LLaM-A", "LLaMA", None, *["".join(rng.choice(list("abc"), rng.integers(0, 9))) for _ in range(60)], *[f"prefix{''.join(rng.choice(list('ab'), 4))}" for _ in range(30)]]
+    a = spark.createDataFrame([(i, s) for i, s in enumerate(names)], "i int, n string")
+    b = spark.createDataFrame([(j, s) for j, s in enumerate(names[::-1])], "j int, m string")
+
+    def edits(s, t):
+        row = list(range(len(t) + 1))
+        for i, x in enumerate(s, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(t, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    plain = [None if s is None else "".join(c for c in s.lower() if c.isalnum()) for s in names]
+    want = sorted((i, j) for i, s in enumerate(plain) for j, t in enumerate(plain[::-1]) if s is not None and t is not None and edits(s, t) <= most)
+    assert sorted((r.i, r.j) for r in operators.fuzzy_matches(a, b, "n", "m", most, group).select("i", "j").collect()) == want
+
+
 def test_csv_traps(spark, tmp_path):
     (tmp_path / "m.csv").write_bytes(b'model,n,metric/x_val_loss\r\n"Solar 9B\n",10,1.5\r\n"L ""B"" ",10.0,\r\n')
     rows = sources.read_csv(spark, str(tmp_path / "m.csv"), "model string, n double, `metric/x_val_loss` double", "file").collect()
