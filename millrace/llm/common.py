@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +15,22 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Spark setting: the shuffle files of a query go when it ends, not when the driver collects garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables of two longs, or of little more, are broadcast up to so many rows; beyond it, Spark shuffles both sides.
+BROADCAST_ROWS = 500_000
+
 _own_dirs: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, an own one if the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
@@ -31,6 +41,17 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/millrace/{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Queries that end within give their shuffle files back; tables that outlive it must have been staged."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, and a lost executor costs no more than a read.
 
@@ -38,8 +59,24 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again, neither directly nor through what was made of them."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop(table))
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def checked(df: DataFrame) -> DataFrame:
+    """A staged table for a join: broadcast up to BROADCAST_ROWS."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -15,11 +15,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, sorted_groups, staged
-from .components import components
+from .common import checked, drop, fresh, shuffles_freed, sorted_groups, staged
+from .components import extended, with_root
 from .tokens import slices
 
 WORDS = 5
@@ -28,8 +28,6 @@ HASHES = TREES * DEPTH
 HUB, REGION = 256, 512
 #: Rows, and characters of text, of one block when documents meet a group.
 BLOCK, BLOCK_CHARS = 128, 8_000_000
-#: Rows of a table of two longs up to which it is broadcast; beyond it, Spark shuffles both sides.
-BROADCAST_ROWS = 500_000
 _MIX = np.random.default_rng(7)
 _POSITION = _MIX.integers(1, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _SHORT = _MIX.integers(1, 1 << 63, WORDS, np.uint64)
@@ -83,6 +81,7 @@ def signatures(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _describe(batches):
+    """Batches of row, text and doc_id to rows of DESCRIBED and doc_id."""
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for i, j in slices(texts):
@@ -96,7 +95,7 @@ def _describe(batches):
                     marks[m, some] = np.add.reduceat(_scramble(shingles + np.uint64(salt)), starts).view(np.int64)
                 for d, s in zip(np.flatnonzero(some), signatures(shingles, counts)):
                     signed[d] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts), pa.array(marks[0]), pa.array(marks[1]), pa.array(signed, pa.binary())], ["row", "n_shingles", "f1", "f2", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts), pa.array(marks[0]), pa.array(marks[1]), pa.array(signed, pa.binary()), batch.column(2).slice(i, j - i)], ["row", "n_shingles", "f1", "f2", "signature", "doc_id"])
 
 
 DESCRIBED = "row long, n_shingles long, f1 long, f2 long, signature binary"
@@ -152,6 +151,8 @@ MEMBERS = "tree int, region long, node long, before long, depth int"
 
 def _near(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether two ascending sets, x not empty, share percent of their union."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
     both = np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y)
     return 100 * both >= percent * (len(x) + len(y) - both)
 
@@ -180,17 +181,19 @@ def _confirm(percent: int):
 
 
 def confirmed(texts: DataFrame, pairs: DataFrame, percent: int, parts: int) -> DataFrame:
-    """The pairs (u, v) whose texts' sets are near; texts: row, text. A hub of many pairs is dealt over chunks of HUB."""
+    """The pairs (u, v) whose texts' sets are near, staged; texts: row, text. A hub of many pairs is dealt over chunks of HUB."""
     pairs = staged(pairs, "pairs")
     needed = staged(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "needed")
-    small = needed.count() <= BROADCAST_ROWS
-    texts = staged(texts.join(F.broadcast(needed) if small else needed, F.col("row") == F.col("node")).select("node", "text"), "pair-texts")
-    busy = pairs.groupBy("u").count().filter(F.col("count") > HUB).select(F.col("u").alias("b"), F.ceil(F.col("count") / HUB).alias("chunks"))
-    dealt = pairs.join(busy, F.col("u") == F.col("b"), "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("chunks", F.lit(1))).alias("chunk"))
-    hubs = dealt.select("u", "chunk").distinct().join(texts, F.col("u") == F.col("node")).select(F.col("u").alias("hub"), "chunk", F.lit(0).alias("role"), "node", "text")
-    others = dealt.join(texts, F.col("v") == F.col("node")).select(F.col("u").alias("hub"), "chunk", F.lit(1).alias("role"), "node", "text")
+    held = staged(texts.join(checked(needed), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "text"), "pair-texts")
+    drop(needed)
+    busy = staged(pairs.groupBy("u").count().filter(F.col("count") > HUB).select(F.col("u").alias("b"), F.ceil(F.col("count") / HUB).alias("chunks")), "hubs")
+    dealt = pairs.join(checked(busy), F.col("u") == F.col("b"), "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("chunks", F.lit(1))).alias("chunk"))
+    hubs = dealt.select("u", "chunk").distinct().join(held, F.col("u") == F.col("node")).select(F.col("u").alias("hub"), "chunk", F.lit(0).alias("role"), "node", "text")
+    others = dealt.join(held, F.col("v") == F.col("node")).select(F.col("u").alias("hub"), "chunk", F.lit(1).alias("role"), "node", "text")
     rows = hubs.union(others).repartition(parts, "hub", "chunk").sortWithinPartitions("hub", "chunk", "role")
-    return staged(rows.mapInArrow(_confirm(percent), "u long, v long"), "links")
+    links = staged(rows.mapInArrow(_confirm(percent), "u long, v long"), "links")
+    drop(pairs, held, busy)
+    return links
 
 
 def _alike(least: float):
@@ -245,7 +248,7 @@ def _met(percent: int, least: float):
     """Sorted rows (root, i, j, role, node, signature, text), those that ask (role 0) first, to one link of each that has any here."""
 
     def task(batches):
-        key, asking = None, []
+        key, asking, stacked = None, [], None
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
             roles, nodes = (batch.column(c).to_pylist() for c in (3, 4))
@@ -256,41 +259,36 @@ def _met(percent: int, least: float):
                 for k in range(i, j):
                     x, s = shingles[ends[k - i] - counts[k - i] : ends[k - i]], np.frombuffer(signed[k], "<u4")
                     if keys[k] != key:
-                        key, asking = keys[k], []
+                        key, asking, stacked = keys[k], [], None
                     if roles[k] == 0:
                         asking.append((nodes[k], s, x.copy()))
                     elif asking:
-                        alike = np.flatnonzero((np.stack([a[1] for a in asking]) == s).mean(axis=1) >= least)
+                        if stacked is None:
+                            stacked = np.stack([a[1] for a in asking])
+                        alike = np.flatnonzero((stacked == s).mean(axis=1) >= least)
                         linked = {a for a in alike.tolist() if _near(asking[a][2], x, percent)}
-                        found += [(asking[a][0], nodes[k]) for a in linked]
-                        asking = [a for n, a in enumerate(asking) if n not in linked]
+                        if linked:
+                            found += [(asking[a][0], nodes[k]) for a in linked]
+                            asking, stacked = [a for n, a in enumerate(asking) if n not in linked], None
             u, v = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return task
 
 
-def _roots(nodes: DataFrame, roots: DataFrame | None, column: str = "node", name: str = "root") -> DataFrame:
-    """nodes with the root of a node column; a node without links is its own."""
-    if roots is None:
-        return nodes.withColumn(name, F.col(column))
-    to = roots.select(F.col("node").alias("node_of_root"), F.col("root").alias("root_found"))
-    return nodes.join(to, F.col(column) == F.col("node_of_root"), "left").withColumn(name, F.coalesce("root_found", column)).drop("node_of_root", "root_found")
-
-
 def _regions_open(members: DataFrame, roots: DataFrame, signed: DataFrame, least: float, parts: int, best: bool) -> DataFrame:
-    """What _opened gives for the regions that hold more than one group.
+    """What _opened gives for the regions that hold more than one group, staged.
 
     All pairs in different groups have a member outside the region's largest group, so those members
     (minor) are met with all others, in blocks. Minor members are dealt over as many blocks as they
     fill alone, so a region that is one group but for a few is given once, not once for each of its blocks.
     """
-    grouped = staged(_roots(members.select("tree", "region", "node").distinct(), roots), "members-roots")
+    grouped = staged(with_root(members.select("tree", "region", "node").distinct(), roots), "members-roots")
     by_group = grouped.groupBy("tree", "region", "root").agg(F.count("*").alias("n"))
     regions = by_group.groupBy("tree", "region").agg(F.count("*").alias("groups"), F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most")).filter("groups > 1")
     counts = [F.expr(f"cast(ceil({n} / {REGION}) as int)").alias(name) for n, name in (("size", "blocks"), ("(size - most.n)", "minor_blocks"))]
-    regions = regions.select(F.col("tree").alias("t"), F.col("region").alias("g"), F.col("most.root").alias("major"), *counts)
-    rows = grouped.join(regions, (F.col("tree") == F.col("t")) & (F.col("region") == F.col("g"))).drop("t", "g")
+    regions = staged(regions.select(F.col("tree").alias("t"), F.col("region").alias("g"), F.col("most.root").alias("major"), *counts), "regions")
+    rows = grouped.join(checked(regions), (F.col("tree") == F.col("t")) & (F.col("region") == F.col("g"))).drop("t", "g")
     rows = rows.withColumn("minor", F.col("root") != F.col("major"))
     of = ["minor", "node", "root"]
     whole = rows.filter("blocks = 1").select("tree", "region", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("minor").alias("left"), F.lit(True).alias("right"), *of)
@@ -306,66 +304,76 @@ def _regions_open(members: DataFrame, roots: DataFrame, signed: DataFrame, least
     as_right = large.select("tree", "region", each("minor_blocks").alias("i"), place("blocks").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"), *of)
     key = ["tree", "region", "i", "j"]
     dealt = whole.union(as_left).union(as_right).join(signed.withColumnRenamed("node", "signed"), F.col("node") == F.col("signed")).drop("signed")
-    return dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_opened(least, best), OPENED)
-
-
-def _checked(df: DataFrame) -> DataFrame:
-    """A written table for a join: broadcast up to BROADCAST_ROWS."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    opened = staged(dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_opened(least, best), OPENED), "opened")
+    drop(grouped, regions)
+    return opened
 
 
 def _groups_met(asked: DataFrame, grouped: DataFrame, texts: DataFrame, signed: DataFrame, percent: int, least: float, parts: int) -> DataFrame:
-    """Links of the documents asked (node, root) with members of that group; grouped: node, root of all documents.
+    """Links, staged, of the documents asked (node, root) with members of that group; grouped: node, root of all documents.
 
     Both sides are cut into blocks, and each block of one meets each of the other. A document
     needs one link with a group, so its search in a block ends with the first.
     """
     asked = staged(asked, "asked")
-    members = staged(grouped.join(_checked(staged(asked.select("root").distinct(), "asked-roots")), "root", "left_semi"), "group-members")
+    wanted = staged(asked.select("root").distinct(), "asked-roots")
+    members = staged(grouped.join(checked(wanted), "root", "left_semi"), "group-members")
     needed = staged(members.select("node").union(asked.select("node")).distinct(), "group-needed")
-    held = texts.join(_checked(needed), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "text")
+    held = texts.join(checked(needed), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "text")
     held = staged(held.join(signed, "node"), "group-texts")
-    asked, members = asked.join(held, "node"), members.join(held, "node")
+    sizes = held.select("node", F.length("text").alias("chars"))
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias(name))
+        return rows.join(sizes, "node").groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("chars") / BLOCK_CHARS)).cast("int").alias(name))
 
-    deal = _checked(staged(blocks(asked, "rows_i").join(blocks(members, "rows_j"), "root"), "group-blocks"))
+    deal = staged(blocks(asked, "rows_i").join(blocks(members, "rows_j"), "root"), "group-blocks")
 
     def place(name: str):
         return F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
 
-    of = ["node", "signature", "text"]
-    asking = asked.join(deal, "root").select("root", place("rows_i").alias("i"), F.explode(F.expr("sequence(0, rows_j - 1)")).alias("j"), F.lit(0).alias("role"), *of)
-    others = members.join(deal, "root").select("root", F.explode(F.expr("sequence(0, rows_i - 1)")).alias("i"), place("rows_j").alias("j"), F.lit(1).alias("role"), *of)
-    rows = asking.union(others).repartitionByRange(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "role")
-    return staged(rows.mapInArrow(_met(percent, least), "u long, v long"), "links")
+    def each(name: str):
+        return F.explode(F.expr(f"sequence(0, {name} - 1)"))
+
+    dealt = checked(deal)
+    asking = asked.join(dealt, "root").select("root", place("rows_i").alias("i"), each("rows_j").alias("j"), F.lit(0).alias("role"), "node")
+    others = members.join(dealt, "root").select("root", each("rows_i").alias("i"), place("rows_j").alias("j"), F.lit(1).alias("role"), "node")
+    rows = asking.union(others).join(held, "node").select("root", "i", "j", "role", "node", "signature", "text")
+    rows = rows.repartitionByRange(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "role")
+    links = staged(rows.mapInArrow(_met(percent, least), "u long, v long"), "links")
+    drop(asked, wanted, members, needed, held, deal)
+    return links
 
 
 def near_duplicates(docs: DataFrame, row: str, percent: int = 75, margin: float = 0.16) -> DataFrame:
     """A row for each document: row, doc_id, n_shingles, component_id, kept, first (the component's first row).
 
-    docs has been written, with a column row of distinct longs beside doc_id and text. Documents are
-    linked when 100 times the intersection of their sets of five-word shingles (ASCII letters in
-    lower case) is percent times the union or more; with fewer words, the set is the whole
-    sequence. Documents without a word, or with null text, are linked with nothing. Documents with
-    equal sets are linked, and stand in the forest once. component_id is the least doc_id that
-    links reach; null ids come after all others. A component's first row is that of the least
+    docs has a column row of distinct longs, the same in every run, beside doc_id and text (see
+    with_rows). Documents are linked when 100 times the intersection of their sets of five-word
+    shingles (ASCII letters in lower case) is percent times the union or more; with fewer words, the
+    set is the whole sequence. Documents without a word, or with null text, are linked with nothing.
+    Documents with equal sets are linked, and stand in the forest once. component_id is the least doc_id
+    that links reach; null ids come after all others. A component's first row is that of the least
     doc_id, then of the least row. An empty table gives an empty result.
 
     A pair with a similarity of 0.75 meets in a region of one of the 32 trees at least but for 5 cases
     in a million. Pairs whose signatures agree in fewer than percent / 100 - margin of 128
     values are not verified: four standard deviations below the threshold, 15 cases in a million.
     """
+    with shuffles_freed(docs.sparkSession):
+        return _near_duplicates(docs, row, percent, margin)
+
+
+def _near_duplicates(docs: DataFrame, row: str, percent: int, margin: float) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(row).alias("row"), "text")
-    described = staged(texts.mapInArrow(_describe, DESCRIBED), "described")
-    ids = docs.select(F.col(row).alias("id_row"), "doc_id")
-    base = staged(described.drop("signature").join(ids, F.col("row") == F.col("id_row")).drop("id_row"), "described-ids")
+    given = docs.select(F.col(row).alias("row"), "text", "doc_id")
+    described = staged(given.mapInArrow(_describe, f"{DESCRIBED}, doc_id {given.schema['doc_id'].dataType.simpleString()}"), "described")
+    base = staged(described.drop("signature"), "described-ids")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     reps = staged(base.filter("n_shingles > 0").groupBy("f1", "f2").agg(first).select("f1", "f2", F.col("first.row").alias("node"), "first"), "classes")
     signed = staged(described.select("row", "signature").join(reps.select("node"), F.col("row") == F.col("node")).select("node", "signature"), "signatures")
+    drop(described)
     order = ["tree", "region", "r1", "r2", "node"]
     sorted_ = signed.mapInArrow(_orders, "tree int, region long, r1 long, r2 long, node long").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     members = staged(sorted_.mapInArrow(_neighbours, MEMBERS), "members")
@@ -375,40 +383,64 @@ def near_duplicates(docs: DataFrame, row: str, percent: int = 75, margin: float
     both = met.select(F.col("u").alias("of"), "u", "v", "rank").union(met.select(F.col("v").alias("of"), "u", "v", "rank"))
     best = both.groupBy("of").agg(F.max(F.struct("rank", "u", "v")).alias("b")).select("b.u", "b.v").distinct()
     links = confirmed(texts, best, percent, parts)
-    roots = components(links)
+    roots = extended(None, links)
+    drop(links)
 
     least = percent / 100 - margin
     a, b = signed.select(F.col("node").alias("u"), F.col("signature").alias("s")), signed.select(F.col("node").alias("v"), F.col("signature").alias("t"))
-    apart = _roots(_roots(met.select("u", "v"), roots, "u", "ru"), roots, "v", "rv").filter("ru <> rv").select("u", "v")
+    apart = with_root(with_root(met.select("u", "v"), roots, "u", "ru"), roots, "v", "rv").filter("ru <> rv").select("u", "v")
     alike = apart.join(a, "u").join(b, "v").select("u", "v", "s", "t").mapInArrow(_alike(least), "u long, v long")
-    links = staged(links.union(confirmed(texts, alike, percent, parts)), "links")
-    roots = components(links)
+    links = confirmed(texts, alike, percent, parts)
+    roots = extended(roots, links)
+    drop(links, met)
 
     opened = _regions_open(members, roots, signed, least, parts, best=True)
     top = opened.groupBy("node").agg(F.max(F.struct("agree", "other")).alias("top")).select(F.least("node", "top.other").alias("u"), F.greatest("node", "top.other").alias("v")).distinct()
-    links = staged(links.union(confirmed(texts, top, percent, parts)), "links")
-    roots = components(links)
+    links = confirmed(texts, top, percent, parts)
+    roots = extended(roots, links)
+    drop(opened, links)
 
-    asked = _regions_open(members, roots, signed, least, parts, best=False).select("node", F.col("other").alias("root")).distinct()
-    links = staged(links.union(_groups_met(asked, _roots(reps.select("node"), roots), texts, signed, percent, least, parts)), "links")
-    roots = components(links)
+    opened = _regions_open(members, roots, signed, least, parts, best=False)
+    asked = opened.select("node", F.col("other").alias("root")).distinct()
+    links = _groups_met(asked, with_root(reps.select("node"), roots), texts, signed, percent, least, parts)
+    roots = extended(roots, links)
+    drop(opened, links, members, signed)
 
-    classes = staged(_roots(reps, roots).select("f1", "f2", "root", "first"), "class-roots")
+    classes = staged(with_root(reps, roots).select("f1", "f2", "root", "first"), "class-roots")
     whole = classes.groupBy("root").agg(F.min("first").alias("lead"))
-    classes = classes.join(whole, "root").select("f1", "f2", "lead")
-    out = base.withColumn("some", F.col("n_shingles") > 0).join(classes.withColumn("some", F.lit(True)), ["some", "f1", "f2"], "left")
-    component = F.when(F.col("some"), F.col("lead.doc_id")).otherwise(F.col("doc_id"))
-    return out.select("row", "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce(F.col("lead.row") == F.col("row"), F.lit(True)).alias("first"))
+    leads = staged(classes.join(whole, "root").select("f1", "f2", "lead"), "class-leads")
+    drop(classes, reps, roots)
+    some = base.filter("n_shingles > 0").join(checked(leads), ["f1", "f2"])
+    none = base.filter("n_shingles = 0").withColumn("lead", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    out = some.unionByName(none)
+    return out.select("row", "doc_id", "n_shingles", F.col("lead.doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("lead.doc_id")).alias("kept"), (F.col("lead.row") == F.col("row")).alias("first"))
 
 
-def with_rows(docs: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, str]:
-    """docs (or columns of it) written with a column of distinct row numbers, and that column's name."""
-    row = fresh(docs, "row")
-    return staged(docs.select(*(columns or docs.columns), F.monotonically_increasing_id().alias(row)), "rows"), row
+def with_rows(docs: DataFrame, columns: list[str] | None = None, files: bool = False) -> tuple[DataFrame, str]:
+    """docs (or columns of it) with a column of distinct row numbers, the same in every run, and that column's name.
 
-
-def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """docs with the first document of each component, all columns as they are."""
-    stored, row = with_rows(docs)
-    first = near_duplicates(stored, row, percent).filter("first").select(F.col("row").alias("first_row_"))
-    return stored.join(first, stored[row] == F.col("first_row_"), "left_semi").select(*docs.columns)
+    With files, docs is a table just as spark.read gives it, and its rows are numbered by their file, in
+    the order of paths, and their place in it; else docs is written first.
+    """
+    row, columns = fresh(docs, "row"), columns or docs.columns
+    if not files:
+        return staged(docs.select(*columns, F.monotonically_increasing_id().alias(row)), "rows"), row
+    name, number = fresh(docs, "row_file"), fresh(docs, "row_file_number")
+    place = docs.metadataColumn("_metadata")
+    paths = docs.select(place["file_path"].alias(name)).distinct()  # a row for each file
+    paths = checked(staged(paths.select(name, F.row_number().over(Window.orderBy(name)).cast("long").alias(number)), "files"))
+    at = docs.select(*columns, place["file_path"].alias(fresh(docs, "row_path")), place["row_index"].alias(fresh(docs, "row_index")))
+    at = at.join(paths, at[fresh(docs, "row_path")] == paths[name])
+    return at.select(*columns, (F.shiftleft(number, 40) + F.col(fresh(docs, "row_index"))).alias(row)), row
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 75, files: bool = False) -> DataFrame:
+    """docs with the first document of each component, all columns as they are; files as for with_rows.
+
+    Documents without a word or with null text all stay, and so does the first of rows alike in all
+    columns. An empty table gives an empty result; columns of any name are carried along.
+    """
+    stored, row = with_rows(docs, files=files)
+    of = fresh(docs, "first_row")
+    first = staged(near_duplicates(stored, row, percent).filter("first").select(F.col("row").alias(of)), "first-rows")
+    return stored.join(checked(first), stored[row] == F.col(of), "left_semi").select(*docs.columns)

@@ -51,7 +51,7 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, row = neardup.with_rows(_table(spark, sf_dir, "documents"), ["doc_id", "text"])
+    docs, row = neardup.with_rows(_table(spark, sf_dir, "documents"), ["doc_id", "text"], files=True)
     return neardup.near_duplicates(docs, row).select("doc_id", "n_shingles", "component_id", "kept")
 
 
