@@ -16,8 +16,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the least id."""
-    return neardup.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates stays: that of the least id. docs as read from files are not written again."""
+    return neardup.drop_near_duplicates(docs, files=bool(docs.inputFiles()))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
