@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import above_chance, clr, cosine, entropy, replace_zeros, share
-from ..operators import nearest
+from ..operators import fuzzy_matches, nearest
 from .registry import registrar
 
 QUERIES: dict = {}
@@ -34,22 +34,33 @@ def mixture_entropy_hhi(t):
     return p.groupBy("source").agg(F.round(entropy(F.col("p")), 6).alias("entropy"), F.round(F.sum(F.col("p") * F.col("p")), 6).alias("hhi"), F.round(F.exp(entropy(F.col("p"))), 6).alias("effective"))
 
 
-_LANGS = ["de", "en", "es", "fr"]
+_LANGS = ["de", "en", "es", "fr"]  # of the given tables, for the SQL alone
+_MOST_LANGS = 1000
 _WIDE = ", ".join(f"coalesce(sum(n_chars) filter (where lang = '{x}'), 0)::bigint as {x}" for x in _LANGS)
 
 
-def _wide(t):
-    return t.documents.groupBy("source").pivot("lang", _LANGS).agg(F.sum("n_chars")).fillna(0)
+def _langs(t) -> list[str]:
+    """The languages of the table, null as "null"; a column each, so more than _MOST_LANGS of them are refused."""
+    found = [r[0] for r in t.documents.select(F.coalesce("lang", F.lit("null"))).distinct().limit(_MOST_LANGS + 1).collect()]
+    if len(found) > _MOST_LANGS:
+        raise ValueError(f"more than {_MOST_LANGS} languages")
+    return sorted(found)
+
+
+def _wide(t, langs: list[str]):
+    lang = F.coalesce("lang", F.lit("null")).alias("lang")
+    return t.documents.select("source", lang, "n_chars").groupBy("source").pivot("lang", langs).agg(F.sum("n_chars")).fillna(0, langs)
 
 
 @query(f"select source, {_WIDE} from documents group by source")
 def mixture_pivot(t):
-    return _wide(t)
+    return _wide(t, _langs(t))
 
 
 @query(f"select source, lang, chars from (select source, {_WIDE} from documents group by source) unpivot (chars for lang in (de, en, es, fr))")
 def mixture_unpivot(t):
-    return _wide(t).unpivot("source", _LANGS, "lang", "chars")
+    langs = _langs(t)
+    return _wide(t, langs).unpivot("source", [f"`{x}`" for x in langs], "lang", "chars")
 
 
 _PARTS = f"""with u as (select source, lang, chars from (select source, {_WIDE} from documents group by source) unpivot (chars for lang in (de, en, es, fr))),
@@ -87,10 +98,11 @@ def _scores(t):
 _CHANCE = {"de": 0.5, "en": 0.2, "es": 1 / 3, "fr": 0.1}
 
 
-@query(f"select source, lang, round(greatest(0, (s - b) / (1 - b)) * 100, 4) as score from ({_SCORE}) join (values ('de', 0.5::double), ('en', 0.2::double), ('es', 1.0::double / 3), ('fr', 0.1::double)) v(l, b) on l = lang")
+@query(f"select source, lang, round(greatest(0, (s - b) / (1 - b)) * 100, 4) as score from ({_SCORE}) left join (values ('de', 0.5::double), ('en', 0.2::double), ('es', 1.0::double / 3), ('fr', 0.1::double)) v(l, b) on l = lang")
 def score_normalize(t):
-    rows = [_scores(t).filter(F.col("lang") == k).select("source", "lang", F.round(above_chance(F.col("s"), b), 4).alias("score")) for k, b in _CHANCE.items()]
-    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+    """Each score above the chance level of its language, from a dimension; null where the dimension has none."""
+    chance = t.spark.createDataFrame(list(_CHANCE.items()), "lang string, b double")
+    return _scores(t).join(F.broadcast(chance), "lang", "left").select("source", "lang", F.round(above_chance(F.col("s"), F.col("b")), 4).alias("score"))
 
 
 @query(f"select source, round(avg(greatest(0, (s - 0.25) / 0.75) * 100), 4) as mean_score, count(*) as parts from ({_SCORE}) group by source")
@@ -123,17 +135,40 @@ def pii_flags(t):
     return t.documents.select("doc_id", *[F.col("text").rlike(p).alias(k) for k, p in _FLAGS.items()])
 
 
+#: Rows of one long up to which a side is broadcast.
+_BROADCAST_KEYS = 2_000_000
 _GRAMS = "select distinct {id}, array_to_string(w[i:i+7], ' ') as g from (select *, unnest(range(1, len(w) - 6)) as i from (select {id}, string_split(lower(text), ' ') as w from {t}))"
 
 
 @query(f"with b as ({_GRAMS.format(id='item_id', t='benchmark')}), d as ({_GRAMS.format(id='doc_id', t='documents')}) select doc_id, item_id, count(*) as shared from d join b using (g) group by all")
 def contamination_ngram(t):
-    def grams(df, key):
+    """Windows of eight words that documents share with benchmark items, by pair.
+
+    Texts are split once. Windows travel as hashes, and those that the benchmark lacks go before any shuffle; the
+    rest are cut from their documents again and compared as text.
+    """
+    def each(at, made):
+        """made(words, i) for each i of at(words), in texts of eight words and more."""
         w = F.split(F.lower("text"), " ")
-        at = F.when(F.size(w) >= 8, F.sequence(F.lit(1), F.size(w) - 7))
-        return df.select(key, F.explode(F.transform(at, lambda i: F.array_join(F.slice(w, i, 8), " "))).alias("g")).distinct()
+        return F.when(F.size(w) >= 8, F.transform(F.array(w), lambda x: F.transform(at(x), lambda i: made(x, i)))[0])
+
+    def starts(x):
+        return F.sequence(F.lit(1), F.greatest(F.size(x) - 7, F.lit(1)))
 
-    return grams(t.documents, "doc_id").join(grams(t.benchmark, "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    def hashed(x, i):
+        return F.xxhash64(F.slice(x, i, 8))
+
+    def joined(x, i):
+        return F.array_join(F.slice(x, i, 8), " ")
+
+    asked = t.benchmark.select("item_id", F.explode(each(starts, joined)).alias("g")).distinct()
+    keys = t.benchmark.select(F.explode(each(starts, hashed)).alias("k")).distinct()
+    keys = F.broadcast(keys) if keys.count() <= _BROADCAST_KEYS else keys
+    windows = t.documents.select("doc_id", F.posexplode(each(starts, hashed)).alias("i", "h"))
+    found = windows.join(keys, F.col("h") == F.col("k"), "left_semi").groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(F.col("i") + 1).alias("at"))
+    hit = t.documents.select("doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("of")))
+    texts = hit.select("doc_id", F.explode(each(lambda x: F.col("at"), joined)).alias("g")).distinct()
+    return texts.join(asked, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
 @query("select page_id, length(x) as n, md5(x) as digest from (select page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>[^<]*</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'), ' ') as x from pages)")
@@ -150,9 +185,8 @@ def conversation_turns(t):
 
 @query("select vec_id, label, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 6) as sim from embeddings order by sim desc, vec_id limit 20")
 def vector_cosine_topk(t):
-    one = t.embeddings.filter("vec_id = 0").select(F.col("embedding").alias("q"))  # one row
-    sim = F.round(cosine(F.col("embedding"), F.col("q")), 6)
-    return t.embeddings.join(F.broadcast(one)).select("vec_id", "label", sim.alias("sim")).orderBy(F.col("sim").desc(), "vec_id").limit(20)
+    one = t.embeddings.filter("vec_id = 0").select("embedding").scalar()
+    return t.embeddings.withColumn("q", one).select("vec_id", "label", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("sim")).orderBy(F.col("sim").desc(), "vec_id").limit(20)
 
 
 @query("with e as (select * from embeddings where vec_id is not null and list_inner_product(embedding::double[], embedding::double[]) > 0), s as (select q.vec_id as query_id, e.vec_id, e.label, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as sim from e as q join e on q.vec_id % 20 = 0) select query_id, row_number() over (partition by query_id order by sim desc, vec_id) as rank, vec_id, label, sim from s qualify rank <= 20")
@@ -166,9 +200,10 @@ def json_props(t):
     return t.events.groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("select lower(w) as word, count(*) as n from (select unnest(string_split(text, ' ')) as w from documents) where w <> '' group by 1 order by n desc, word limit 50")
+@query("select lower(w) as word, count(*) as n from (select unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as w from documents) group by 1")
 def explode_words(t):
-    return t.documents.select(F.explode(F.split("text", " ")).alias("w")).filter("w <> ''").groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "word").limit(50)
+    words = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    return words.groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n"))
 
 
 @query("select source, lang, count(*) as docs, round(quantile_cont(n_chars, 0.5), 2) as median_chars, round(avg(n_chars), 4) as avg_chars from documents group by all")
@@ -188,3 +223,36 @@ def broadcast_dimension(t):
     by = t.documents.groupBy("lang").agg(F.count("*").alias("n"))
     ranked = by.withColumn("rk", F.row_number().over(Window.orderBy(F.col("n").desc(), "lang")))
     return ranked.join(F.broadcast(names), F.col("lang") == F.col("code")).select("lang", "label", "rk")
+
+
+@query("with e as (select event_id, json_extract(props, '$.k')::int as k from events where props is not null) select 'k' as key, k // 10 as tens, count(*) as n, min(k) as least, max(k) as most from e group by all")
+def map_entries(t):
+    """JSON as a map: its entries, a value by key, and the same by variant access."""
+    m = t.events.select(F.from_json("props", "map<string,int>").alias("m"), F.variant_get(F.parse_json("props"), "$.k", "int").alias("v"))
+    rows = m.select(F.explode(F.map_entries("m")).alias("e"), F.element_at("m", "k").alias("k"), "v").filter("k <=> v and e.value = k")
+    return rows.groupBy(F.col("e.key").alias("key"), F.expr("k div 10").alias("tens")).agg(F.count("*").alias("n"), F.min("k").alias("least"), F.max("e.value").alias("most"))
+
+
+@query("select event_type, nullif(domain, '(none)') as domain, nullif(domain, '(none)') is not null as mapped, count(*) as n from events left join (values ('view', 'reading'), ('click', 'acting'), ('purchase', 'acting'), ('error', '(none)')) m(k, domain) on k = event_type group by all")
+def domain_mapping(t):
+    """A small mapping with a sentinel: what it does not know, or maps to (none), stays null."""
+    table = t.spark.createDataFrame([("view", "reading"), ("click", "acting"), ("purchase", "acting"), ("error", "(none)")], "k string, to string")
+    d = t.events.join(F.broadcast(table), F.col("event_type") == F.col("k"), "left").select("event_type", F.nullif(F.col("to"), F.lit("(none)")).alias("domain"))
+    return d.groupBy("event_type", "domain", F.col("domain").isNotNull().alias("mapped")).agg(F.count("*").alias("n"))
+
+
+@query("select split_part(p_name, ' ', 1) as first_word, regexp_extract(p_type, '^([A-Z]+)', 1) as kind, upper(trim(replace(p_brand, 'Brand#', ' '))) as brand, count(*) as n from part group by all")
+def string_parts(t):
+    return t.part.groupBy(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("first_word"), F.regexp_extract("p_type", "^([A-Z]+)", 1).alias("kind"), F.upper(F.trim(F.replace("p_brand", F.lit("Brand#"), F.lit(" ")))).alias("brand")).agg(F.count("*").alias("n"))
+
+
+_PLAIN = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
+_NAMES = "with a as (select distinct p_name as n from part), b as (select distinct substr(p_name, 2) as m from part)"
+
+
+@query(f"{_NAMES} select n, m, levenshtein({_PLAIN.format('n')}, {_PLAIN.format('m')}) as edits from a, b where levenshtein({_PLAIN.format('n')}, {_PLAIN.format('m')}) <= 2")
+def fuzzy_names(t):
+    """Names within two edits of names that have lost a letter."""
+    a, b = t.part.select(F.col("p_name").alias("n")).distinct(), t.part.select(F.substr("p_name", F.lit(2)).alias("m")).distinct()
+    plain = [F.regexp_replace(F.lower(c), "[^a-z0-9]", "") for c in "nm"]
+    return fuzzy_matches(a, b, "n", "m", 2).select("n", "m", F.levenshtein(*plain).alias("edits"))
