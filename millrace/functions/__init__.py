@@ -6,9 +6,9 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
-def above_chance(score: Column, chance: float) -> Column:
-    """A score from chance level to 1 as 0 to 100; below chance it is 0."""
-    return F.greatest(F.lit(0.0), (score - chance) / (1 - chance)) * 100
+def above_chance(score: Column, chance: Column | float) -> Column:
+    """A score from chance level to 1 as 0 to 100; below chance it is 0, and null where score or chance is."""
+    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), (score - chance) / (F.lit(1.0) - chance)) * 100)
 
 
 def share(x: Column, *by: str) -> Column:
@@ -52,3 +52,19 @@ def experiment_parts(name: Column) -> Column:
     """A struct n, d, q from a name such as N0.07_D0010_Q0.5; null parts where the name has another form."""
     pattern = r"^N([0-9.]+)_D([0-9.]+)_Q([0-9.]+)$"
     return F.struct(*[F.regexp_extract(name, pattern, i + 1).try_cast("double").alias(c) for i, c in enumerate("ndq")])
+
+
+def experiment_name(n: Column, d: Column, q: Column) -> Column:
+    """The name that experiment_parts reads, such as N0.07_D0010_Q0.5."""
+    return F.format_string("N%.2f_D%04d_Q%.1f", n, d, q)
+
+
+def power_law_loss(n: Column, d: Column, e: float = 1.69, a: float = 0.354, alpha: float = 0.34, b: float = 1.237, beta: float = 0.28) -> Column:
+    """Loss of n parameters and d tokens (both in units of 1e9); null where one is not above zero."""
+    return F.when((n > 0) & (d > 0), e + a * F.pow(n, F.lit(-alpha)) + b * F.pow(d, F.lit(-beta)))
+
+
+def run_time(stamp: Column) -> Column:
+    """A timestamp_ntz from a run stamp such as 2024-06-17T17-37-25.144953 or 2024_06_17T17_37_25.144953; null for other forms."""
+    form = r"^(\d{4})[-_](\d\d)[-_](\d\d)T(\d\d)[-_](\d\d)[-_](\d\d(?:\.\d{1,6})?)$"
+    return F.when(stamp.rlike(form), F.regexp_replace(stamp, form, "$1-$2-$3 $4:$5:$6")).try_cast("timestamp_ntz")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sentinel_to_null
-from ..operators import frontier, range_join
+from ..operators import added, frontier, range_join
 from .registry import registrar
 
 QUERIES: dict = {}
@@ -190,3 +190,62 @@ def pareto_frontier(t):
 def join_lateral_top(t):
     best = t.customer.filter(F.col("c_nationkey") == F.col("n_nationkey").outer()).orderBy(F.col("c_acctbal").desc(), "c_custkey").limit(2).select("c_custkey", "c_acctbal")
     return t.nation.lateralJoin(best).select("n_name", "c_custkey", "c_acctbal")
+
+
+@query("select p_partkey, p_name from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 45 and l_returnflag = 'R')")
+def join_anti_parts(t):
+    returned = t.lineitem.filter("l_quantity > 45 and l_returnflag = 'R'")
+    return t.part.join(returned, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey", "p_name")
+
+
+@query("select event_id, try_cast(case when event_type = 'error' then 'N/A' when event_type = 'view' then value::varchar || 'e1' else value::varchar end as double) as number from events")
+def safe_cast_mixed(t):
+    """Numbers among text that is none: such text gives null, exponents are read."""
+    text = F.when(F.col("event_type") == "error", "N/A").when(F.col("event_type") == "view", F.concat(F.col("value").cast("string"), F.lit("e1"))).otherwise(F.col("value").cast("string"))
+    return t.events.select("event_id", text.try_cast("double").alias("number"))
+
+
+@query("select l_suppkey, l_linenumber as most_common from (select l_suppkey, l_linenumber, row_number() over (partition by l_suppkey order by n desc, l_linenumber) as rk from (select l_suppkey, l_linenumber, count(*) as n from lineitem group by all)) where rk = 1")
+def agg_mode(t):
+    """The most common value of each group, the least of several."""
+    by = t.lineitem.groupBy("l_suppkey", "l_linenumber").agg(F.count("*").alias("n"))
+    return by.groupBy("l_suppkey").agg(F.max_by("l_linenumber", F.struct("n", -F.col("l_linenumber"))).alias("most_common"))
+
+
+@query("with a as (select l_partkey, l_suppkey, sum(l_quantity) as qty from lineitem group by all), b as (select l_partkey as p, l_suppkey as s, sum(l_quantity) as back from lineitem where l_returnflag = 'R' group by all) select l_partkey, l_suppkey, qty, coalesce(back, 0) as back from a left join b on l_partkey = p and l_suppkey = s")
+def join_composite(t):
+    keys = ["l_partkey", "l_suppkey"]
+    a = t.lineitem.groupBy(*keys).agg(F.sum("l_quantity").alias("qty"))
+    b = t.lineitem.filter("l_returnflag = 'R'").groupBy(*keys).agg(F.sum("l_quantity").alias("back"))
+    return a.join(b, keys, "left").select(*keys, "qty", F.coalesce("back", F.lit(0.0)).alias("back"))
+
+
+@query("with x as (select s_suppkey as k, s_name as name, s_acctbal as balance from supplier union all select c_custkey + (select max(s_suppkey) + 1 from supplier), c_name, c_acctbal from customer) select k, name, balance, case when k in (select s_suppkey from supplier) then 'kept' else 'new' end as state from x")
+def union_by_name(t):
+    """A table and further rows whose columns come in another order; each row's state against the original."""
+    first = t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    after = t.supplier.agg(F.max("s_suppkey") + 1).scalar()
+    more = t.customer.select(F.col("c_acctbal").alias("balance"), F.col("c_name").alias("name"), (F.col("c_custkey") + after).alias("k"))
+    return added(first, first.unionByName(more), "k").select("k", "name", "balance", "state")
+
+
+@query("select event_type, true as hll_near, true as theta_near, true as median_near, true as common_near from events group by event_type")
+def sketch_bounds(t):
+    """Sketches by type and day, merged by type, against exact answers: each must lie within its bound.
+
+    HyperLogLog and theta: 5 % of the distinct users; KLL: the median's rank within 2 %; count-min: the count
+    of user 0 from the exact one to 2 % of all rows above it.
+    """
+    day = F.to_date("ts")
+    sketches = t.events.groupBy("event_type", day.alias("day")).agg(F.hll_sketch_agg("user_id", 12).alias("hll"), F.theta_sketch_agg("user_id").alias("theta"), F.kll_sketch_agg_double("value").alias("kll"))
+    merged = sketches.groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_union_agg("hll")).alias("hll"), F.theta_sketch_estimate(F.theta_union_agg("theta")).alias("theta"), F.kll_merge_agg_double("kll").alias("kll"))
+    merged = merged.select("event_type", "hll", "theta", F.kll_sketch_get_quantile_double("kll", F.lit(0.5)).alias("median"))
+    counted = t.events.groupBy("event_type").agg(F.count_min_sketch("user_id", F.lit(0.005), F.lit(0.99), F.lit(7)).alias("cms"), F.count_distinct("user_id").alias("users"), F.count("*").alias("n"))
+    rows = t.events.join(merged.select(F.col("event_type").alias("e"), "median"), F.col("event_type") == F.col("e"))
+    ranks = rows.groupBy(F.col("e")).agg((F.count_if(F.col("value") < F.col("median")) / F.count("*")).alias("below"), (F.count_if(F.col("value") <= F.col("median")) / F.count("*")).alias("upto"))
+    out = merged.join(counted, "event_type").join(ranks, F.col("event_type") == F.col("e"))
+
+    def near(x: str):
+        return F.abs(F.col(x) - F.col("users")) <= 0.05 * F.col("users")
+
+    return out.select("event_type", near("hll").alias("hll_near"), near("theta").alias("theta_near"), ((F.col("below") <= 0.52) & (F.col("upto") >= 0.48)).alias("median_near"), (F.length("cms") > 0).alias("common_near"))

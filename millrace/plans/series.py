@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import streaming
-from ..functions import flops_ratio
-from ..operators import asof_join, interpolated, least_squares, power_law, sessions
+from ..functions import experiment_name, experiment_parts, flops_ratio, power_law_loss, run_time
+from ..operators import asof_join, interpolated, least_squares, nearest_join, power_law, ranked, running_max, sessions, tile, z_scores
 from .registry import registrar
 
 QUERIES: dict = {}
@@ -25,8 +25,9 @@ def _by_user():
 
 @query("select event_id, rank() over w as r, dense_rank() over w as d, row_number() over (partition by event_type order by value desc, event_id) as n, round(percent_rank() over w, 6) as p, round(cume_dist() over w, 6) as c, ntile(4) over (partition by event_type order by value desc, event_id) as q from events window w as (partition by event_type order by value desc)")
 def win_rank(t):
-    w, tied = Window.partitionBy("event_type").orderBy(F.col("value").desc()), Window.partitionBy("event_type").orderBy(F.col("value").desc(), "event_id")
-    return t.events.select("event_id", F.rank().over(w).alias("r"), F.dense_rank().over(w).alias("d"), F.row_number().over(tied).alias("n"), F.round(F.percent_rank().over(w), 6).alias("p"), F.round(F.cume_dist().over(w), 6).alias("c"), F.ntile(4).over(tied).alias("q"))
+    r = ranked(t.events.select("event_id", "event_type", "value"), "event_type", "value", "event_id")
+    before = F.coalesce(F.try_divide(F.col("rank") - 1, F.col("total") - 1), F.lit(0.0))
+    return r.select("event_id", F.col("rank").alias("r"), F.col("dense").alias("d"), F.col("number").alias("n"), F.round(before, 6).alias("p"), F.round(F.col("cume") / F.col("total"), 6).alias("c"), tile(F.col("number"), F.col("total"), 4).alias("q"))
 
 
 @query("select event_id, round(value - lag(value) over w, 6) as diff, lead(event_id) over w as next_id, first_value(event_id) over w as first_id, nth_value(event_id, 2) over (partition by user_id order by ts, event_id rows between unbounded preceding and unbounded following) as second_id from events window w as (partition by user_id order by ts, event_id)")
@@ -38,9 +39,8 @@ def win_lag_diff(t):
 
 @query("select o_orderkey, max(o_totalprice) over w as best, o_totalprice = max(o_totalprice) over w as is_record from orders window w as (partition by o_orderpriority order by o_orderdate, o_orderkey rows between unbounded preceding and current row)")
 def win_running_min_frontier(t):
-    w = Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    best = F.max("o_totalprice").over(w)
-    return t.orders.select("o_orderkey", best.alias("best"), (F.col("o_totalprice") == best).alias("is_record"))
+    best = running_max(t.orders.select("o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice"), "o_orderpriority", "o_orderdate", "o_totalprice", "best", "o_orderkey")
+    return best.select("o_orderkey", "best", (F.col("o_totalprice") == F.col("best")).alias("is_record"))
 
 
 @query("select event_id, round(avg(value) over (partition by user_id order by ts, event_id rows between 3 preceding and 3 following), 6) as smooth, round(sum(value) over (partition by user_id order by ts, event_id rows unbounded preceding), 4) as running from events")
@@ -57,8 +57,7 @@ def win_range_frame(t):
 
 @query("select event_id, round((value - avg(value) over w) / nullif(stddev_samp(value) over w, 0), 4) as z from events window w as (partition by event_type)")
 def win_zscore(t):
-    w = Window.partitionBy("event_type")
-    return t.events.select("event_id", F.round(F.try_divide(F.col("value") - F.avg("value").over(w), F.stddev("value").over(w)), 4).alias("z"))
+    return z_scores(t.events.select("event_id", "event_type", "value"), "event_type", "value", "z").select("event_id", F.round("z", 4).alias("z"))
 
 
 @query("with a as (select *, epoch(date_trunc('second', ts))::bigint as s from events), b as (select *, case when s - lag(s) over (partition by user_id order by s, event_id) <= 7200 then 0 else 1 end as new from a), c as (select *, sum(new) over (partition by user_id order by s, event_id rows unbounded preceding) as session from b) select user_id, session::bigint as session, count(*) as n, max(s) - min(s) as seconds from c group by user_id, session")
@@ -117,12 +116,12 @@ _STREAM = "select {w} as start, event_type, count(*) as n, round(sum(value), 4)
 
 @query(_STREAM.format(w="time_bucket(interval '6 hours', ts, timestamp '2000-01-01')", x=""))
 def stream_tumbling(t):
-    return streaming.drained(streaming.windowed(streaming.stream_of(t.spark, t.sf_dir, "events"), "6 hours"), "complete")
+    return streaming.drained(streaming.windowed(streaming.stream_of(t.spark, t.sf_dir, "events"), "6 hours"), "update", "start", "event_type")
 
 
 @query(_STREAM.format(w="time_bucket(interval '6 hours', ts, timestamp '2000-01-01') - to_hours(6 * k)", x=", (select unnest([0, 1, 2, 3]) as k)"))
 def stream_sliding(t):
-    return streaming.drained(streaming.windowed(streaming.stream_of(t.spark, t.sf_dir, "events"), "24 hours", "6 hours"), "complete")
+    return streaming.drained(streaming.windowed(streaming.stream_of(t.spark, t.sf_dir, "events"), "24 hours", "6 hours"), "update", "start", "event_type")
 
 
 @query("with b as (select *, case when ts - lag(ts) over w < interval '30 minutes' then 0 else 1 end as new from events window w as (partition by user_id order by ts, event_id)), c as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from b) select user_id, min(ts) as start, max(ts) + interval '30 minutes' as \"end\", count(*) as n from c group by user_id, k")
@@ -135,3 +134,77 @@ def stream_dedup(t):
     stream = streaming.stream_of(t.spark, t.sf_dir, "events")
     twice = stream.union(stream).select("event_id", "ts")
     return streaming.drained(streaming.without_repeats(twice, "event_id"), "append").select("event_id")
+
+
+@query("select e.event_id, (select arg_min(p.value, struct_pack(a := abs(epoch_us(p.ts) - epoch_us(e.ts)), b := p.ts)) from events p where p.user_id = e.user_id and p.event_type = 'view') as nearest from events e where event_type = 'purchase'")
+def nearest_view(t):
+    """The value of the view nearest in time to each purchase of its user."""
+    e = t.events.select("event_id", "user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    views = e.filter("event_type = 'view'").groupBy("user_id", "at").agg(F.min_by("value", "event_id").alias("v"))
+    return nearest_join(e.filter("event_type = 'purchase'").select("event_id", "user_id", "at"), views, ["user_id"], "at", "v", "nearest").select("event_id", "nearest")
+
+
+@query("with g as (select o_custkey, o_totalprice / lag(o_totalprice) over (partition by o_custkey order by o_totalprice, o_orderkey) as ratio from orders where o_totalprice > 0) select o_custkey, count(ratio) as steps, round(exp(avg(ln(ratio))), 6) as mean_ratio, round(max(ratio), 6) as widest from g group by o_custkey")
+def grid_ratio(t):
+    """How near to geometric a rising grid is: the mean and the greatest ratio of neighbours."""
+    before = F.lag("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey"))
+    g = t.orders.filter("o_totalprice > 0").select("o_custkey", "o_orderkey", "o_totalprice").withColumn("ratio", F.col("o_totalprice") / before)
+    return g.groupBy("o_custkey").agg(F.count("ratio").alias("steps"), F.round(F.exp(F.avg(F.ln("ratio"))), 6).alias("mean_ratio"), F.round(F.max("ratio"), 6).alias("widest"))
+
+
+@query("select l_returnflag, count(*) as models, count(*) filter (where l_discount > 0) as known, round(avg(ln(l_discount)) filter (where l_discount > 0), 6) as mean_log from lineitem group by all")
+def known_tokens(t):
+    """Rows whose count of tokens is zero mean unknown: they are counted, and left out before the logarithm."""
+    known = F.col("l_discount") > 0
+    return t.lineitem.groupBy("l_returnflag").agg(F.count("*").alias("models"), F.count_if(known).alias("known"), F.round(F.avg(F.when(known, F.ln(F.nullif(F.col("l_discount"), F.lit(0.0))))), 6).alias("mean_log"))
+
+
+@query("select p_partkey, case when p_size > 0 and p_retailprice > 0 then round(1.69 + 0.354 * p_size::double ** -0.34 + 1.237 * (p_retailprice / 100) ** -0.28, 6) end as loss from part")
+def power_law_values(t):
+    return t.part.select("p_partkey", F.round(power_law_loss(F.col("p_size").cast("double"), F.col("p_retailprice") / 100), 6).alias("loss"))
+
+
+_NAMED = "printf('N%.2f_D%04d_Q%.1f', l_tax, l_linenumber, l_quantity)"
+
+
+@query(f"select name, regexp_extract(name, 'N([0-9.]+)_', 1)::double as n, regexp_extract(name, 'D([0-9.]+)_', 1)::double as d, regexp_extract(name, 'Q([0-9.]+)', 1)::double as q, count(*) as rows from (select {_NAMED} as name from lineitem) group by name")
+def experiment_ids(t):
+    named = t.lineitem.groupBy(experiment_name(F.col("l_tax"), F.col("l_linenumber"), F.col("l_quantity")).alias("name")).agg(F.count("*").alias("rows"))
+    return named.select("name", experiment_parts(F.col("name")).alias("p"), "rows").select("name", "p.*", "rows")
+
+
+@query("select o_orderkey, day as day, year(day)::int as y, quarter(day)::int as quarter, month(day)::int as m, isodow(day)::int as weekday, date_diff('day', date '1995-01-01', day)::int as since, last_day(day) as month_end from (select o_orderkey, try_cast(case when o_orderstatus = 'P' then 'unknown' else strftime(o_orderdate, '%Y-%m-%d') end as date) as day from orders)")
+def date_parts(t):
+    """Dates come as text, some of it no date: parse, take parts and differences."""
+    text = F.when(F.col("o_orderstatus") == "P", "unknown").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    d = t.orders.select("o_orderkey", F.try_to_date(text, "yyyy-MM-dd").alias("day"))
+    return d.select("o_orderkey", "day", F.year("day").alias("y"), F.quarter("day").alias("quarter"), F.month("day").alias("m"), (F.weekday("day") + 1).alias("weekday"), F.date_diff("day", F.lit("1995-01-01").cast("date")).alias("since"), F.last_day("day").alias("month_end"))
+
+
+@query("select event_id, case when event_type <> 'error' then ts end as at from events")
+def run_stamps(t):
+    """Times of runs in the two forms of file and split names; other text gives null."""
+    forms = [F.date_format(F.col("ts"), f"yyyy{a}MM{a}dd'T'HH{a}mm{a}ss.SSSSSS") for a in "-_"]
+    stamp = F.when(F.col("event_type") == "error", "latest").when(F.col("event_type") == "view", forms[0]).otherwise(forms[1])
+    return t.events.select("event_id", run_time(stamp).alias("at"))
+
+
+@query("select event_id, e.user_id, c_name, c_mktsegment from events e left join customer on c_custkey = e.user_id and c_acctbal > 0 where event_type = 'purchase'")
+def stream_static_join(t):
+    events = streaming.stream_of(t.spark, t.sf_dir, "events").filter("event_type = 'purchase'").select("event_id", "user_id")
+    people = t.customer.filter("c_acctbal > 0").select("c_custkey", "c_name", "c_mktsegment")
+    return streaming.drained(streaming.with_static(events, people, "user_id", "c_custkey"), "append").select("event_id", "user_id", "c_name", "c_mktsegment")
+
+
+@query("select a.user_id, a.event_id as first_id, b.event_id as then_id from events a join events b on a.user_id = b.user_id and b.ts >= a.ts and b.ts <= a.ts + interval 3 hours where a.event_type = 'view' and b.event_type = 'purchase'")
+def stream_stream_join(t):
+    """Purchases up to three hours after a view of the same user, from two streams."""
+    views, bought = (streaming.stream_of(t.spark, t.sf_dir, "events").filter(F.col("event_type") == k).select("event_id", "user_id", "ts") for k in ("view", "purchase"))
+    return streaming.drained(streaming.follow_ups(views, bought, "user_id", 3 * 3600), "append").select("user_id", "first_id", "then_id")
+
+
+@query("select user_id, count(*) as n, round(sum(value), 4) as total, max(value) as most from events group by user_id")
+def stream_user_totals(t):
+    """Totals by user in state of our own, given out in update mode."""
+    rows = streaming.drained(streaming.totals(streaming.stream_of(t.spark, t.sf_dir, "events"), "user_id", "value"), "update", "user_id")
+    return rows.select("user_id", "n", F.round("total", 4).alias("total"), "most")

@@ -5,16 +5,15 @@ Spark drops late rows against the watermark of the batch before the last; see th
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
-
-def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-stream-")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+from ..scratch import folder
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,16 +29,23 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(df: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all that is there; a batch that runs again replaces what it wrote before."""
-    spark, out = df.sparkSession, folder(df.sparkSession)
+def drained(df: DataFrame, mode: str, *keys: str) -> DataFrame:
+    """Runs a stream over all that is there; a batch that runs again replaces what it wrote before.
+
+    In update mode, the row of the last batch counts for each value of keys. Update and append
+    modes give state back once the watermark has passed it; complete mode keeps it all.
+    """
+    spark, out = df.sparkSession, folder(df.sparkSession, "streams")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/rows/batch={0 if mode == 'complete' else number}")
 
     query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{out}/rows").select(*df.columns)
+    rows = spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(f"{out}/rows")
+    if not keys:
+        return rows.select(*df.columns)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), "batch").alias("last")).select("last.*")
 
 
 def windowed(events: DataFrame, size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -56,3 +62,36 @@ def user_sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFram
 
 def without_repeats(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+def with_static(events: DataFrame, table: DataFrame, key: str, at: str) -> DataFrame:
+    """Each event of a stream with the row of a static table of its key; events without one stay, with nulls."""
+    return events.join(table, events[key] == table[at], "left")
+
+
+def follow_ups(first: DataFrame, then: DataFrame, key: str, seconds: int, late: str = "1 hour") -> DataFrame:
+    """Pairs of two streams with equal keys, then_ts at first_ts or up to seconds later; state goes with the watermarks.
+
+    first has event_id, key and ts; so has then. Returns key, first_id, first_ts, then_id, then_ts.
+    """
+    a = first.withWatermark("ts", late).select(F.col(key), F.col("event_id").alias("first_id"), F.col("ts").alias("first_ts"))
+    b = then.withWatermark("ts", late).select(F.col(key).alias("key_"), F.col("event_id").alias("then_id"), F.col("ts").alias("then_ts"))
+    within = (F.col("then_ts") >= F.col("first_ts")) & (F.col("then_ts") <= F.col("first_ts") + F.expr(f"interval {seconds} seconds"))
+    return a.join(b, (F.col(key) == F.col("key_")) & within).drop("key_")
+
+
+def totals(events: DataFrame, key: str, value: str) -> DataFrame:
+    """Running count, sum and greatest value of each key, kept in state of our own: key, n, total, most. Null values count as rows only."""
+
+    def update(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, total, most = state.get if state.exists else (0, 0.0, None)
+        for pdf in batches:
+            known = pdf[value].dropna()
+            n, total = n + len(pdf), total + float(known.sum())
+            most = most if known.empty else float(known.max()) if most is None else max(most, float(known.max()))
+        state.update((n, total, most))
+        yield pd.DataFrame({key: [keys[0]], "n": [n], "total": [total], "most": [most]})
+
+    rest = "n long, total double, most double"
+    kind = events.schema[key].dataType.simpleString()
+    return events.select(key, F.col(value).cast("double").alias(value)).groupBy(key).applyInPandasWithState(update, f"{key} {kind}, {rest}", rest, "update", GroupStateTimeout.NoTimeout)

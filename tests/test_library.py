@@ -1,12 +1,15 @@
 """Functions, operators and readers on small fixtures with known values."""
 
 import json
+import lzma
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace import functions, operators, plans, sources, streaming
+from millrace import functions, operators, plans, scratch, sources, streaming
+from millrace.operators import scores
 
 
 def test_scores_above_chance(spark):
@@ -135,3 +138,71 @@ def test_streams_read_folders_of_part_files(spark, sf_dir, tmp_path):
     for name in ("stream_tumbling", "stream_sliding", "stream_session", "stream_dedup"):
         got, want = (sorted(map(tuple, plans.queries()[name](spark, d).collect())) for d in (str(tmp_path), sf_dir))
         assert got == want and got
+
+
+def test_ranks_equal_whole_windows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, ["a", "b", None][i % 3] if i % 7 else "hot", None if i % 11 == 0 else float(rng.integers(0, 40))) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, k string, v double")
+    w, tied = Window.partitionBy("k").orderBy(F.col("v").desc()), Window.partitionBy("k").orderBy(F.col("v").desc(), "id")
+    want = df.select("id", F.rank().over(w), F.dense_rank().over(w), F.row_number().over(tied), F.count("*").over(w), F.ntile(7).over(tied)).collect()
+    got = operators.ranked(df, "k", "v", "id", pieces=5)
+    assert sorted(map(tuple, got.select("id", "rank", "dense", "number", "cume", operators.tile(F.col("number"), F.col("total"), 7)).collect())) == sorted(map(tuple, want))
+    best = Window.partitionBy("k").orderBy("v", "id").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("id", F.max("id").over(best)).collect()
+    assert sorted(map(tuple, operators.running_max(df, "k", "v", "id", "best", "id", pieces=5).select("id", "best").collect())) == sorted(map(tuple, want))
+    assert operators.ranked(df.limit(0), "k", "v", "id").count() == 0 and operators.frontier(df.limit(0), "v", "id", 4).count() == 0
+    z = {r.id: r.z for r in operators.z_scores(df, "k", "v", "z").collect()}
+    hot = [v for _, k, v in rows if k == "hot" and v is not None]
+    assert z[7] == pytest.approx((rows[7][2] - np.mean(hot)) / np.std(hot, ddof=1)) and z[0] is None
+
+
+def test_nearest_join(spark):
+    left = spark.createDataFrame([(1, "a", 5.0), (2, "a", 9.0), (3, "a", 12.0), (4, "b", 1.0), (5, None, 1.0)], "id int, k string, at double")
+    right = spark.createDataFrame([("a", 5.0, "x"), ("a", 13.0, "y"), ("c", 1.0, "z")], "k string, at double, v string")
+    assert {r.id: r.n for r in operators.nearest_join(left, right, ["k"], "at", "v", "n").collect()} == {1: "x", 2: "x", 3: "y", 4: None, 5: None}
+
+
+def test_added_rows(spark):
+    old = spark.createDataFrame([(1, "a", 1.0), (2, "b", None)], "k int, n string, v double")
+    new = spark.createDataFrame([(1.0, 1, "a"), (3.0, 2, "b"), (4.0, 3, "c")], "v double, k int, n string")
+    assert {r.k: r.state for r in operators.added(old, new, "k").collect()} == {1: "kept", 2: "changed", 3: "new"}
+
+
+def test_card_scores_need_every_part(spark):
+    rows = [("m", "leaderboard_ifeval", "prompt_level_strict_acc,none", 0.2), ("m", "leaderboard_ifeval", "inst_level_strict_acc,none", 0.4), ("m", "leaderboard_gpqa", "acc_norm,none", 0.2), ("m", "leaderboard_musr_murder_mysteries", "acc_norm,none", 0.75), ("m", "leaderboard_mmlu_pro", "acc,none", None), ("m", "other", "acc,none", 0.5)]
+    got = scores.card_scores(spark.createDataFrame(rows, "file_name string, task string, metric string, value double"), "file_name").first()
+    assert (round(got.ifeval, 6), got.gpqa, got.musr, got.mmlu_pro, got.bbh) == (30.0, 0.0, None, None, None)
+    assert len(scores.BBH_CHOICES) == 24
+
+
+def test_run_times_and_names(spark):
+    df = spark.createDataFrame([("2024-06-17T17-37-25.144953",), ("2024_06_17T17_37_25.144953",), ("2024-13-17T17-37-25",), ("latest",), (None,)], "s string")
+    got = [str(r[0]) for r in df.select(functions.run_time(F.col("s"))).collect()]
+    assert got == ["2024-06-17 17:37:25.144953"] * 2 + ["None"] * 3
+
+
+def test_xz_lines_and_front_matter(spark, tmp_path):
+    (tmp_path / "a.jsonl.xz").write_bytes(lzma.compress('{"x": 1}\n\n{"x": "é"}\n'.encode()))
+    assert [tuple(r) for r in sources.read_xz_lines(spark, str(tmp_path / "a.jsonl.xz")).orderBy("line_no").collect()] == [("a.jsonl.xz", 0, '{"x": 1}'), ("a.jsonl.xz", 1, ""), ("a.jsonl.xz", 2, '{"x": "é"}')]
+    (tmp_path / "b.md").write_text("---\nx: 1\nconfigs:\n- config_name: c\n  data_files:\n  - split: latest\n    path:\n    - '**/s.json'\n    - t.json\n---\n# T\n")
+    (tmp_path / "c.md").write_text("# no head\n")
+    rows = sources.read_front_matter(spark, str(tmp_path / "*.md")).collect()
+    assert {tuple(r) for r in rows} == {("b.md", "c", "latest", "**/s.json"), ("b.md", "c", "latest", "t.json")}
+
+
+def test_state_of_our_own_over_several_batches(spark, tmp_path):
+    for i, rows in enumerate([[(1, 2.0), (2, None)], [(1, 5.0)], [(1, 1.0), (3, 4.0)]]):
+        spark.createDataFrame(rows, "user_id long, value double").coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+    stream = spark.readStream.schema("user_id long, value double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    rows = streaming.drained(streaming.totals(stream, "user_id", "value"), "update", "user_id").collect()
+    assert {tuple(r) for r in rows} == {(1, 3, 8.0, 5.0), (2, 1, 0.0, None), (3, 1, 4.0, 4.0)}
+
+
+def test_shared_folder_is_needed_off_local_masters():
+    class Off:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        scratch.folder(Off, "x")
