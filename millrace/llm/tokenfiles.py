@@ -89,30 +89,40 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, files:
         row = [[context.partitionId()], [name], [len(ids)], [int(offsets[-1])], [enc.dtype.itemsize]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32()])], ["part", "name", "n_docs", "n_ids", "width"])
 
-    manifest = staged(ordered.mapInArrow(task, MANIFEST), "manifest")
+    manifest = staged(ordered.mapInArrow(task, MANIFEST), "manifest")  # frees the shuffled texts
     before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
     return manifest.withColumn("base", F.coalesce(before, F.lit(0)))
 
 
-def read(manifest: DataFrame, folder: str, docs_a_batch: int = 4096) -> DataFrame:
-    """A row for each document in the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+def read(manifest: DataFrame, folder: str, docs_a_batch: int = 4096, ids_a_batch: int = 4_000_000) -> DataFrame:
+    """A row for each document in the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+
+    Ids are read by ranges of so many documents and ids (or one longer document), one request each where a
+    store is not local. Documents with null ids, repeated ids or no text come as they were written; a manifest
+    without files gives an empty result.
+    """
 
     def task(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 uri, n = f"{folder}/{row['name']}", row["n_docs"]
                 ids, offsets, keys, nulls = (FlatFile(f"{uri}.{x}", t) for x, t in (("bin", f"<u{row['width']}"), ("idx", "<i8"), ("doc", "<i8"), ("nul", "u1")))
-                for i in range(0, n, docs_a_batch):
-                    j = min(n, i + docs_a_batch)
-                    at = np.asarray(offsets.read(i, j + 1))
-                    crcs = [zlib.crc32(ids.read(a, b).astype("<u4").tobytes()) for a, b in zip(at[:-1], at[1:])]
+                i = 0
+                while i < n:
+                    at = np.asarray(offsets.read(i, min(n, i + docs_a_batch) + 1))
+                    at = at[: max(2, np.searchsorted(at, at[0] + ids_a_batch, "right"))]
+                    j = i + len(at) - 1
+                    held = ids.read(int(at[0]), int(at[-1]))
+                    crcs = [zlib.crc32(held[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1] - at[0], at[1:] - at[0])]
                     doc = pa.array(np.asarray(keys.read(i, j)), mask=np.asarray(nulls.read(i, j)).astype(bool))
                     yield pa.RecordBatch.from_arrays([doc, pa.array(at[:-1] + row["base"]), pa.array(np.diff(at)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    i = j
 
     files = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return manifest.repartition(files).mapInArrow(task, DOCUMENT)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
+    """What read gives for the files that write makes of docs, in a new folder unless one is named; nulls, ties and empty tables as there."""
     folder = folder or new_folder(docs.sparkSession, "token-files")
     return read(write(docs, folder, tokenizer_path, end_id), folder)
