@@ -99,19 +99,23 @@ def scan(docs: DataFrame) -> DataFrame:
     an empty result. A column of docs that is called found stays, and the new one ends in an underscore.
     Only documents with a match of a strong pattern are stored on the way.
     """
-    row, raw, out = (fresh(docs, c) for c in ("scan_row", "scan_raw", "found"))
+    row, raw, of, all_, out = (fresh(docs, c) for c in ("scan_row", "scan_raw", "scan_of", "scan_spans", "found"))
     text = F.coalesce(F.col("text"), F.lit(""))
     hit = text.rlike(PATTERNS["assign"][0]) | text.rlike(PATTERNS["access"][0]) | text.rlike(PATTERNS["hex"][0])
     stored = staged(docs.filter(hit).withColumn(raw, candidates(text)).withColumn(row, F.monotonically_increasing_id()), "scanned")
     spans = link(staged(_placed(stored.select(F.col(row).alias("row"), F.col(raw).alias("found"))), "spans"))
-    listed = spans.groupBy(F.col("row").alias("of_row_")).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans_"))
+    listed = spans.groupBy(F.col("row").alias(of)).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias(all_))
     none = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")
-    joined = stored.join(listed, stored[row] == F.col("of_row_"), "left").withColumn(out, F.coalesce("spans_", none))
+    joined = stored.join(listed, stored[row] == F.col(of), "left").withColumn(out, F.coalesce(all_, none))
     return docs.filter(~hit).withColumn(out, none).union(joined.select(*docs.columns, out))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans: the digest of a scan, without carrying texts on."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans: the digest of a scan, without carrying texts on.
+
+    Null and empty texts have no spans: counts of 0, the digest of nothing and an empty list. Repeated rows come
+    each for itself, an empty table gives an empty result, and columns other than doc_id and text are not used.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = staged(docs.select("doc_id", candidates(text).alias("found"), F.monotonically_increasing_id().alias("row")), "scanned")
     spans = link(staged(_placed(slim.filter(F.size("found") > 0).select("row", "found")), "spans"))
@@ -123,7 +127,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every reported span of the text replaced by mark (overlapping spans by one), and n_chars anew where there is one."""
+    """docs with every reported span of the text replaced by mark (overlapping spans by one), and n_chars anew where there is one.
+
+    Null and empty texts stay as they are; rows, repeated ones too, all stay; an empty table gives an empty result; columns
+    of any name are carried along.
+    """
     found = fresh(docs, "found")
     scanned = scan(docs)
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
