@@ -19,6 +19,8 @@ from .common import fresh, key60, n_words, staged
 HASH_BITS, LEVEL_BITS = 60, 12
 #: Tables of sources are broadcast up to so many rows; beyond it, Spark shuffles.
 BROADCAST_SOURCES = 10_000
+#: The driver plans the mix and holds a row for each source; more sources than this are refused.
+MOST_SOURCES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -73,11 +75,14 @@ def _thresholds(rows: DataFrame, rests: dict[int, float]) -> dict[int, int]:
 
 
 def plan_mix(rows: DataFrame, weight_of, share: float, most: float) -> list[MixPlan]:
-    """rows: source, hash, size. The driver holds one row for each source, none for documents.
+    """rows: source, hash, size. The driver holds one row for each source, MOST_SOURCES at most, none for documents.
 
     weight_of(sources) gives a weight for each of the sources, which come in code-point order, null last.
     """
-    sizes = {r.source: int(r.size or 0) for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()}
+    by_source = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
+    if len(by_source) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    sizes = {r.source: int(r.size or 0) for r in by_source}
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weights = dict(zip(order, weight_of(order)))
     targets = fill_targets(sizes, weights, share * sum(sizes.values()), most)
@@ -122,7 +127,11 @@ def mix(docs: DataFrame, weight_of=None, share: float = 1.5, most: float = 2.0)
 
 
 def mixed_documents(docs: DataFrame, weight_of=None, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """docs as the mix takes them: a document taken twice is there twice, one not taken is gone. The columns stay as they are."""
+    """docs as the mix takes them: a document taken twice is there twice, one not taken is gone. The columns stay as they are.
+
+    Null texts and sources, ties, repeated rows, empty tables and clashing names are as for mix: a null text has size 0 and
+    is taken by its hash like any other.
+    """
     h, z, n, of = (fresh(docs, c) for c in ("mix_hash", "mix_size", "mix_copies", "mix_source"))
     slim = staged(docs.select(F.col("source").cast("string").alias("source"), document_hash(F.col("doc_id"), F.col("text")).alias("hash"), n_words(F.col("text")).alias("size")), "mix")
     plans = plan_mix(slim, weight_of or cyclic_weights(), share, most)

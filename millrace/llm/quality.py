@@ -144,7 +144,10 @@ def judge(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataF
 
 
 def judge_slim(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """doc_id, the five measures, base_failed, host_failed and kept of each document, without carrying its text on."""
+    """doc_id, the five measures, base_failed, host_failed and kept of each document, without carrying its text on.
+
+    Null and empty texts, null hosts, repeated rows, empty tables and columns of any name are as for judge.
+    """
     m = docs.select(F.col("doc_id"), F.col(host).alias("source"), "text")
     slim = staged(m.select("doc_id", "source", measures(F.col("text")).alias("quality")), "measured")
     failures = rule_failures("quality")

@@ -68,7 +68,13 @@ def assign(docs: DataFrame, shards: int = 16, parts: int | None = None) -> DataF
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, files_per_shard: int = 1) -> None:
-    """docs as Parquet folders shard=0, shard=1, ...; each shard's rows are dealt over files_per_shard files by hash."""
+    """docs as Parquet folders shard=0, shard=1, ...; each shard's rows are dealt over files_per_shard files by hash.
+
+    Null ids share a shard, rows alike in all columns a file; an empty table writes no folder. A column called
+    shard is refused, as the folders' names would take its place.
+    """
+    if "shard" in map(str.lower, docs.columns):
+        raise ValueError("docs has a column called shard")
     deal = F.pmod(F.xxhash64(*docs.columns), F.lit(files_per_shard))
     dealt = docs.withColumn("shard", shard_of(F.col("doc_id"), shards))
     dealt.repartition(shards * files_per_shard, "shard", deal).write.partitionBy("shard").parquet(path)
