@@ -19,7 +19,8 @@ def mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = toolcalls.conversation_calls(_table(spark, sf_dir, "conversations"))
-    return toolcalls.link(calls, results, toolcalls.TURN_SCHEMAS)
+    linked = toolcalls.link(calls, results, toolcalls.TURN_SCHEMAS)
+    return linked.select("call_id", F.array_join("parents", ",").alias("parents"), "tool", "n_calls", "n_results", "status", "chain", "depth", "position", "errors", F.md5("record").alias("record_md5"))
 
 
 def token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,22 +102,30 @@ OP2 = r"""
 with recursive t as (select conv_id, turn, role, coalesce(text, '') as text from conversations where conv_id is not null and turn is not null),
 calls as (
   select 'call-' || conv_id || '-' || turn as call_id,
-    case when turn >= 2 then 'call-' || conv_id || '-' || (turn - 2) end as parent_id,
-    case when turn >= 2 then 'follow' else 'open' end as tool, turn, length(text) as chars, md5(text) as digest
-  from t where role = 'user'),
-ranked as (select *, count(*) over (partition by call_id) as n_calls, row_number() over (partition by call_id order by digest, chars::varchar) as rn from calls),
+    list_filter([case when turn >= 1 then 'call-' || conv_id || '-' || (turn - case when turn >= 2 then 2 else 1 end) end, case when turn % 4 = 0 and turn >= 4 then 'call-' || conv_id || '-' || (turn - 4) end], lambda p: p is not null) as parents,
+    case when role = 'system' then 'system' when turn >= 2 then 'follow' else 'open' end as tool, turn, text,
+    case when text = '' then 'nothing' when ends_with(text, '?') then 'question' else 'statement' end as kind
+  from t where role in ('user', 'system')),
+ranked as (select *, count(*) over (partition by call_id) as n_calls, row_number() over (partition by call_id order by tool, text) as rn from calls),
 one as (select * from ranked where rn = 1),
-answers as (select 'call-' || conv_id || '-' || (turn - 1) as call_id, count(*) as n_results, min(md5(text)) as result from t where role = 'assistant' group by 1),
+answers as (select 'call-' || conv_id || '-' || (turn - 1) as call_id, count(*) as n_results, min(text) as result from t where role = 'assistant' group by 1),
+edges as (select distinct c.call_id, p.parent from (select call_id, unnest(parents) as parent from one) p join one c using (call_id) where p.parent in (select call_id from one)),
 deep as (
-  select call_id, 0::bigint as depth from one where parent_id is null or parent_id not in (select call_id from one)
-  union all
-  select o.call_id, d.depth + 1 from one o join deep d on o.parent_id = d.call_id)
-select coalesce(o.call_id, a.call_id) as call_id, parent_id, tool, coalesce(n_calls, 0)::bigint as n_calls, coalesce(n_results, 0)::bigint as n_results,
-  case when o.call_id is null then 'orphan' when a.call_id is null then 'unanswered' else 'linked' end as status, depth,
-  case when o.call_id is null then null when chars < 1 then '$.chars: minimum' when chars > 400 then '$.chars: maximum' else '' end as errors,
-  case when o.call_id is not null then '{"arguments":{"chars":' || chars || ',"digest":"' || digest || '"' || case when tool = 'follow' then ',"turn":' || turn else '' end
-    || '},"id":"' || o.call_id || '","name":"' || tool || '","result":' || coalesce('"' || result || '"', 'null') || '}' end as record
-from one o left join deep d on o.call_id = d.call_id full join answers a on o.call_id = a.call_id
+  select call_id, 0::bigint as depth from one where call_id not in (select call_id from edges)
+  union
+  select e.call_id, d.depth + 1 from edges e join deep d on e.parent = d.call_id),
+depths as (select call_id, max(depth) as depth from deep group by call_id),
+both as (select call_id as a, parent as b from edges union all select parent, call_id from edges),
+reach(node, seen) as (select call_id, call_id from one union select r.node, b.b from reach r join both b on r.seen = b.a),
+chains as (select node as call_id, min(seen) as chain from reach group by node),
+placed as (select call_id, chain, depth, row_number() over (partition by chain order by depth nulls last, call_id) - 1 as position from one join chains using (call_id) left join depths using (call_id))
+select coalesce(o.call_id, a.call_id) as call_id, array_to_string(parents, ',') as parents, tool, coalesce(n_calls, 0)::bigint as n_calls, coalesce(n_results, 0)::bigint as n_results,
+  case when o.call_id is null then 'orphan' when a.call_id is null then 'unanswered' else 'linked' end as status, chain, depth, position::bigint as position,
+  case when o.call_id is null then null when tool = 'system' then '$: unknown tool'
+    else array_to_string(list_filter([case when kind = 'nothing' then '$.kind: enum' end, case when length(text) < 1 then '$.text: minLength' when length(text) > 400 then '$.text: maxLength' end, case when turn > 5 and tool = 'follow' then '$.turn: maximum' end], lambda x: x is not null), '; ') end as errors,
+  case when o.call_id is not null then md5('{"arguments":{"kind":"' || kind || '","text":' || to_json(text) || case when turn >= 2 then ',"turn":' || turn else '' end
+    || '},"id":"' || o.call_id || '","name":"' || tool || '","result":' || coalesce(to_json(result)::varchar, 'null') || '}') end as record_md5
+from one o left join placed p on o.call_id = p.call_id full join answers a on o.call_id = a.call_id
 """
 
 OP5 = r"""

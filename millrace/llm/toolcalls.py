@@ -1,40 +1,79 @@
 """Tool-call linking: calls meet results by identifier, are ordered, validated and serialised.
 
-Calls and results are hash-joined by call id. A call may build on one earlier call, its parent;
-depths in that forest come from pointer doubling, so a chain of any length takes a logarithmic
-number of joins. Arguments are validated against a schema for each tool (the usual
-keywords of JSON Schema for objects with plain members) and every record is written as canonical
-JSON: keys in code-point order, no spaces, no escapes beyond the needed ones.
+Calls and results are hash-joined by call id. A call may build on several earlier calls, its parents; its depth
+is the longest way down from a call without known parents, and calls that are joined by such ways
+make a chain, in which every call has a position behind all its parents. Arguments are validated against a
+schema for each tool (the usual keywords of JSON Schema) and every record is written as canonical JSON as
+RFC 8785 has it: keys in UTF-16 order, no spaces, no escapes beyond the needed ones, numbers as doubles.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import drop, fresh, shuffles_freed, staged
+from .components import components, with_root
 
-_TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
+
+def _number(x: float) -> str:
+    """A double as ECMAScript writes it: the fewest digits that read back, plain from 1e-6 to below 1e21."""
+    if x == 0:
+        return "0"
+    _, places, power = Decimal(repr(abs(x))).normalize().as_tuple()
+    sign, digits = "-" * (x < 0), "".join(map(str, places))
+    n, exponent = len(digits), len(digits) + power
+    if n <= exponent <= 21:
+        return sign + digits + "0" * (exponent - n)
+    if 0 < exponent <= 21:
+        return f"{sign}{digits[:exponent]}.{digits[exponent:]}"
+    if -6 < exponent <= 0:
+        return f"{sign}0.{'0' * -exponent}{digits}"
+    power = exponent - 1
+    return f"{sign}{digits[0]}{'.' * (n > 1)}{digits[1:]}e{'+' if power > 0 else '-'}{abs(power)}"
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """Canonical JSON of what _parsed gives, or of strings and nulls."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-16-be"))) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(canonical, value)) + "]"
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        return _number(float(value))
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _parsed(text: str):
+    """The value of a JSON text, all numbers as doubles; ValueError for what RFC 8785 has no form for: numbers beyond them and lone surrogates."""
+    def finite(x: str) -> float:
+        if not math.isfinite(v := float(x)):
+            raise ValueError(x)
+        return v
+
+    value = json.loads(text, parse_int=finite, parse_float=finite, parse_constant=finite)
+    canonical(value).encode()
+    return value
 
 
 def _is(value, kind: str) -> bool:
-    return isinstance(value, _TYPES[kind]) and not (isinstance(value, bool) and kind in ("integer", "number"))
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    plain = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
+    return isinstance(value, plain[kind]) if kind in plain else number and (kind == "number" or float(value).is_integer())
 
 
 def schema_errors(value, schema: dict, at: str = "$") -> list[str]:
-    """What is wrong with a value, as "path: keyword", in the order of paths."""
-    kinds = schema.get("type", list(_TYPES))
-    if not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
+    """What is wrong with a value, as "path: keyword", in the order of paths. Values are equal as JSON is: true is not 1, 1.0 is."""
+    kinds = schema.get("type")
+    if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return [f"{at}: type"]
-    out = [f"{at}: enum"] if "enum" in schema and value not in schema["enum"] else []
+    out = [f"{at}: enum"] if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]) else []
     if isinstance(value, str):
         out += [f"{at}: minLength"] if len(value) < schema.get("minLength", 0) else []
         out += [f"{at}: maxLength"] if len(value) > schema.get("maxLength", len(value)) else []
@@ -56,66 +95,123 @@ def schema_errors(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
-def checked(tool: Column, arguments: Column, schemas: dict[str, dict]) -> Column:
-    """A struct of errors (joined by "; ", empty if none) and arguments as canonical JSON (null if they are no JSON)."""
+def checked_arguments(tool: Column, arguments: Column, schemas: dict[str, dict]) -> Column:
+    """A struct of errors (joined by "; ", empty if none) and arguments as canonical JSON (null if they have none)."""
 
     @F.pandas_udf("errors string, arguments string")
     def of(tools: pd.Series, texts: pd.Series) -> pd.DataFrame:
         rows = []
         for tool, text in zip(tools, texts):
             try:
-                value = json.loads(text, parse_constant=lambda x: 1 / 0) if text is not None else None
+                value = _parsed(text) if text is not None else None
                 wrong = schema_errors(value, schemas[tool]) if tool in schemas else ["$: unknown tool"]
                 rows.append(("; ".join(wrong), canonical(value)))
-            except (ValueError, ZeroDivisionError, RecursionError):
+            except (ValueError, RecursionError):
                 rows.append(("$: no JSON", None))
         return pd.DataFrame(rows, columns=["errors", "arguments"])
 
     return of(tool, arguments)
 
 
-def depths(calls: DataFrame) -> DataFrame:
-    """calls: call_id (distinct), parent_id. call_id and depth: 0 without a known parent, null on or behind a cycle.
+def _settled(up: DataFrame, total: int) -> DataFrame:
+    """up: node, anchor, k, lost. Follows anchors to one that is null (no call above) or its own; the distance doubles each round.
 
-    Each round doubles the distance to the known ancestor; a chain longer than all calls is a cycle.
+    A node that comes back to itself, or still moves after as many steps as there are nodes, is on or behind a cycle:
+    it is lost and becomes its own anchor.
     """
-    ids = calls.select(F.col("call_id").alias("known"))
-    up = calls.select("call_id", "parent_id").join(ids, F.col("parent_id") == F.col("known"), "left")
-    now = staged(up.select("call_id", F.col("known").alias("above"), F.when(F.col("known").isNull(), 0).otherwise(1).cast("long").alias("depth")), "depths")
-    total, reach, done = now.count(), 1, []
+    reach = 1
     while True:
-        done.append(now.filter("above is null").select("call_id", "depth"))
-        open_ = now.filter("above is not null")
-        if not open_.take(1):
-            break
-        if reach > total:
-            done.append(open_.select("call_id", F.lit(None).cast("long").alias("depth")))
+        steps = up.filter("anchor is null or anchor <> node").select(F.col("node").alias("at"), F.col("anchor").alias("next"), F.col("k").alias("more"))
+        joined = up.join(steps, F.col("anchor") == F.col("at"), "left").withColumn("moved", F.col("at").isNotNull())
+        back = F.col("moved") & (F.lit(reach > total) | F.coalesce(F.col("next") == F.col("node"), F.lit(False)))
+        anchor = F.when(back, F.col("node")).when(F.col("moved"), F.col("next")).otherwise(F.col("anchor"))
+        old, up = up, staged(joined.select("node", anchor.alias("anchor"), F.when(back, 0).otherwise(F.col("k") + F.coalesce("more", F.lit(0))).alias("k"), (F.col("lost") | back).alias("lost"), "moved"), "anchors")
+        drop(old)
+        if reach > total or not up.filter("moved").take(1):
+            return up
+        reach *= 2
+
+
+def depths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nodes: node; edges: node, parent (both known, distinct). node and depth, staged: the longest way up, null on or behind a cycle.
+
+    Nodes hang from their only parent, and ways of such steps are shortened by doubling. A node of several
+    parents hangs from what they all hang from, by the longest way, as soon as that is one node; this goes on while
+    there are such nodes. A chain or a tree takes a logarithmic number of joins; each node of several parents
+    that hang from different ones adds a round to those above it.
+    """
+    one = edges.groupBy("node").agg(F.count("*").alias("n"), F.max("parent").alias("p"))
+    up = nodes.join(one, "node", "left").select("node", F.when(F.col("n") == 1, F.col("p")).when(F.col("n") > 1, F.col("node")).alias("anchor"), F.when(F.col("n") == 1, 1).otherwise(0).cast("long").alias("k"), F.coalesce((F.col("n") == 1) & (F.col("p") == F.col("node")), F.lit(False)).alias("lost"))
+    up = staged(up, "anchors")
+    total = up.count()
+    while True:
+        up = _settled(up, total)
+        open_ = up.filter("anchor = node and not lost").select("node")
+        to = up.select(F.col("node").alias("of"), "anchor", F.col("k").alias("way"))
+        ways = edges.join(open_, "node", "left_semi").join(to, F.col("parent") == F.col("of")).groupBy("node", "anchor").agg(F.max("way").alias("way"))
+        single = ways.groupBy("node").agg(F.count("*").alias("n"), F.first("anchor").alias("to"), F.max("way").alias("way")).filter("n = 1 and not (to <=> node)")
+        single = staged(single.select(F.col("node").alias("of"), "to", "way"), "single")
+        if not single.take(1):
+            drop(single)
             break
-        steps = now.select(F.col("call_id").alias("at"), F.col("above").alias("next"), F.col("depth").alias("more"))
-        now, reach = staged(open_.join(steps, F.col("above") == F.col("at"), "left").select("call_id", F.col("next").alias("above"), (F.col("depth") + F.col("more")).alias("depth")).union(now.filter("above is null").select("call_id", "above", "depth")), "depths"), reach * 2
-        done = []
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
+        joined = up.join(single, F.col("node") == F.col("of"), "left")
+        moved = F.col("of").isNotNull()
+        old, up = up, staged(joined.select("node", F.when(moved, F.col("to")).otherwise(F.col("anchor")).alias("anchor"), F.when(moved, F.col("way") + 1).otherwise(F.col("k")).alias("k"), "lost"), "anchors")
+        drop(old, single)
+    out = staged(up.select("node", F.when(F.col("anchor").isNull(), F.col("k")).alias("depth")), "depths")
+    drop(up)
+    return out
+
+
+def numbered(df: DataFrame, by: str, *order: str) -> DataFrame:
+    """df, staged, with position: from 0 without gaps in each group of by, in that order; groups of any size spread over tasks."""
+    parts, position = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), fresh(df, "position")
+    run = df.repartitionByRange(parts, by, *order).sortWithinPartitions(by, *order)
+    run = staged(run.select("*", F.monotonically_increasing_id().alias("at_"), F.spark_partition_id().alias("part_")), "ordered")
+    counts = run.groupBy(F.col(by).alias("of_"), F.col("part_").alias("in_")).agg(F.count("*").alias("n"), F.min("at_").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("of_").orderBy("in_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = counts.select("of_", "in_", (before - F.col("first")).alias("base_"))
+    out = staged(run.join(base, (F.col(by) == F.col("of_")) & (F.col("part_") == F.col("in_"))).withColumn(position, F.col("at_") + F.col("base_")).drop("at_", "part_", "of_", "in_", "base_"), "numbered")
+    drop(run)
+    return out
+
+
+def ordered(calls: DataFrame) -> DataFrame:
+    """calls: call_id (distinct), parents (array). ordered_id, chain (its least call id), depth and position, staged."""
+    ids = staged(calls.select("call_id", "parents", F.monotonically_increasing_id().alias("node")), "call-nodes")
+    known = ids.select(F.col("call_id").alias("known"), F.col("node").alias("up"))
+    edges = ids.select("node", F.explode("parents").alias("parent_id")).join(known, F.col("parent_id") == F.col("known")).select("node", F.col("up").alias("parent")).distinct()
+    edges = staged(edges, "call-edges")
+    depth = depths(edges, ids.select("node"))
+    roots = components(edges.select(F.col("node").alias("u"), F.col("parent").alias("v")), "call-chains")
+    rows = with_root(ids.select("call_id", "node"), roots).join(depth, "node")
+    rows = staged(rows.select("call_id", "root", "depth", F.coalesce("depth", F.lit(1 << 62)).alias("order")), "call-depths")
+    names = rows.groupBy(F.col("root").alias("of")).agg(F.min("call_id").alias("chain"))
+    out = staged(numbered(rows, "root", "order", "call_id").join(names, F.col("root") == F.col("of")).select(F.col("call_id").alias("ordered_id"), "chain", "depth", "position"), "call-order")
+    drop(ids, edges, depth, roots, rows)
     return out
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """calls: call_id, parent_id, tool, arguments (JSON); results: call_id, content. A row for each call id of either.
-
-    Returns call_id, parent_id, tool, n_calls, n_results, status, depth, errors and record, the
-    canonical JSON of {arguments, id, name, result}. Of calls with the same id the least by
-    (tool, arguments, parent_id) counts, of results the least content; n_calls and n_results tell how
-    many there were. status is linked, unanswered, or orphan for a result without a call, which has no
-    depth, errors or record. Null ids meet nothing and are left out. Arguments that are no JSON
-    have the error "$: no JSON" and stand as null in the record. Empty tables give an empty result.
+    """calls: call_id, parents (array of ids), tool, arguments (JSON); results: call_id, content. A row for each call id of either.
+
+    Returns call_id, parents (as given), tool, n_calls, n_results, status, chain, depth, position, errors and
+    record, the canonical JSON of {arguments, id, name, result}. Of calls with the same id the least by
+    (tool, arguments, parents) counts, of results the least content; n_calls and n_results tell how many there
+    were. status is linked, unanswered, or orphan for a result without a call, which has no chain, depth, position,
+    errors or record. Null parents and those that are no call's id are no parents. Calls on or behind a cycle
+    have no depth and stand last in their chain, by id. Null ids meet nothing and are left out. Arguments
+    that are no JSON, hold a lone surrogate or a number beyond doubles have the error "$: no JSON" and stand
+    as null in the record; null arguments are the value null. Texts of any length are written whole. Empty tables
+    give an empty result; other columns are not used.
     """
-    one = calls.filter("call_id is not null").groupBy("call_id").agg(F.count("*").alias("n_calls"), F.min(F.struct("tool", "arguments", "parent_id")).alias("c"))
-    one = staged(one.select("call_id", "n_calls", "c.*"), "calls")
+    with shuffles_freed(calls.sparkSession):
+        one = calls.filter("call_id is not null").groupBy("call_id").agg(F.count("*").alias("n_calls"), F.min(F.struct("tool", "arguments", "parents")).alias("c"))
+        one = staged(one.select("call_id", "n_calls", "c.*"), "calls")
+        order = ordered(one.select("call_id", "parents"))
     answers = results.filter("call_id is not null").groupBy(F.col("call_id").alias("answered")).agg(F.count("*").alias("n_results"), F.min("content").alias("result"))
-    depth = depths(one).withColumnRenamed("call_id", "deep_id")
-    joined = one.join(depth, F.col("call_id") == F.col("deep_id"), "left").drop("deep_id").join(answers, F.col("call_id") == F.col("answered"), "full")
-    joined = joined.withColumn("k", F.when(F.col("call_id").isNotNull(), checked(F.col("tool"), F.col("arguments"), schemas)))
+    joined = one.join(order, F.col("call_id") == F.col("ordered_id")).join(answers, F.col("call_id") == F.col("answered"), "full")
+    joined = joined.withColumn("k", F.when(F.col("call_id").isNotNull(), checked_arguments(F.col("tool"), F.col("arguments"), schemas)))
     status = F.when(F.col("call_id").isNull(), "orphan").when(F.col("answered").isNull(), "unanswered").otherwise("linked")
 
     @F.pandas_udf("string")
@@ -123,30 +219,35 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
         return pd.Series([f'{{"arguments":{a or "null"},"id":{canonical(i)},"name":{canonical(t)},"result":{canonical(r)}}}' for i, t, a, r in zip(ids, tools, arguments, answers)])
 
     made = F.when(F.col("call_id").isNotNull(), record("call_id", "tool", F.col("k.arguments"), F.col("result")))
-    return joined.select(F.coalesce("call_id", "answered").alias("call_id"), "parent_id", "tool", F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"), status.alias("status"), "depth", F.col("k.errors").alias("errors"), made.alias("record"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_calls", "n_results")]
+    return joined.select(F.coalesce("call_id", "answered").alias("call_id"), "parents", "tool", *counts, status.alias("status"), "chain", "depth", "position", F.col("k.errors").alias("errors"), made.alias("record"))
 
 
-#: The tools that conversation_calls derives, with their schemas.
+_TEXT = {"type": "string", "minLength": 1, "maxLength": 400}
+_KIND = {"enum": ["question", "statement"]}
+#: The tools that conversation_calls derives, with their schemas; "system" has none.
 TURN_SCHEMAS = {
-    "open": {"type": "object", "required": ["chars", "digest"], "additionalProperties": False, "properties": {"chars": {"type": "integer", "minimum": 1, "maximum": 400}, "digest": {"type": "string", "pattern": "^[0-9a-f]{32}$"}}},
-    "follow": {"type": "object", "required": ["chars", "digest", "turn"], "additionalProperties": False, "properties": {"chars": {"type": "integer", "minimum": 1, "maximum": 400}, "digest": {"type": "string", "pattern": "^[0-9a-f]{32}$"}, "turn": {"type": "integer", "minimum": 0}}},
+    "open": {"type": "object", "required": ["kind", "text"], "additionalProperties": False, "properties": {"kind": _KIND, "text": _TEXT}},
+    "follow": {"type": "object", "required": ["kind", "text", "turn"], "additionalProperties": False, "properties": {"kind": _KIND, "text": _TEXT, "turn": {"type": "integer", "minimum": 2, "maximum": 5}}},
 }
 
 
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results that a table of turns (conv_id, turn, role, text) implies.
+    """Calls and results that a table of turns (conv_id, turn, role, text) implies, whole texts as arguments and contents.
 
-    Every user turn calls a tool with the length and digest of its text and builds on the user turn two
-    before; every assistant turn is the result for the turn before it.
+    Every user and system turn is a call with its text. A user turn builds on the user turn two before it, every fourth
+    turn on the one four before it too, and the first two on a system turn right before. Every assistant
+    turn is the result for the turn before it. Rows without a conversation or turn are left out, null texts are empty.
     """
     def name(turn: Column) -> Column:
         return F.concat_ws("-", F.lit("call"), F.col("conv_id"), turn)
 
     known = turns.filter("conv_id is not null and turn is not null")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    chars, digest = F.concat(F.lit('"chars":'), F.length(text)), F.concat(F.lit('"digest":"'), F.md5(text), F.lit('"'))
-    follow = F.col("turn") >= 2
-    arguments = F.when(follow, F.concat(F.lit("{"), digest, F.lit(', "turn": '), F.col("turn"), F.lit(","), chars, F.lit("}"))).otherwise(F.concat(F.lit("{"), digest, F.lit(","), chars, F.lit("}")))
-    calls = known.filter("role = 'user'").select(name(F.col("turn")).alias("call_id"), F.when(follow, name(F.col("turn") - 2)).alias("parent_id"), F.when(follow, "follow").otherwise("open").alias("tool"), arguments.alias("arguments"))
-    results = known.filter("role = 'assistant'").select(name(F.col("turn") - 1).alias("call_id"), F.md5(text).alias("content"))
+    text, turn, follow = F.coalesce(F.col("text"), F.lit("")), F.col("turn"), F.col("turn") >= 2
+    kind = F.when(text == "", "nothing").when(text.endswith("?"), "question").otherwise("statement").alias("kind")
+    arguments = F.to_json(F.struct(F.when(follow, turn).alias("turn"), text.alias("text"), kind))
+    parents = F.filter(F.array(F.when(turn >= 1, name(turn - F.when(follow, 2).otherwise(1))), F.when((turn % 4 == 0) & (turn >= 4), name(turn - 4))), lambda p: p.isNotNull())
+    tool = F.when(F.col("role") == "system", "system").when(follow, "follow").otherwise("open")
+    calls = known.filter("role in ('user', 'system')").select(name(turn).alias("call_id"), parents.alias("parents"), tool.alias("tool"), arguments.alias("arguments"))
+    results = known.filter("role = 'assistant'").select(name(turn - 1).alias("call_id"), text.alias("content"))
     return calls, results

@@ -92,27 +92,87 @@ def test_vectors_recall_at_the_threshold(spark, dims):
     assert got >= 0.99 * 3000
 
 
+SCHEMAS = {
+    "all": {
+        "type": "object", "required": ["n", "s"], "additionalProperties": False,
+        "properties": {"n": {"type": "integer", "minimum": -2, "maximum": 7}, "s": {"type": "string", "minLength": 2, "maxLength": 3, "pattern": "^[a-z]+$"}, "e": {"enum": [1, "x", None, [1.0]]}, "l": {"type": "array", "items": {"type": ["number", "null"]}}, "b": {"type": "boolean"}, "o": {"type": "object"}},
+    },
+}
+
+
 def test_tool_calls(spark):
-    calls = [("a", None, "open", '{"digest":"%s","chars":3}' % ("0" * 32)), ("b", "a", "follow", '{"turn": 1.5, "chars":true, "x":1}'), ("c", "b", "none", "{}"), ("d", "e", "open", "no json"), ("e", "d", "open", None), ("a", "z", "open", "[]"), (None, None, "open", "{}"), ("f", "zz", "open", '{"chars":401,"digest":"é"}'), ("g", "c", None, '{"b":{"z":1,"a":"é\\n"},"a":NaN}')]
+    calls = [("a", [], "all", '{"s":"ab","n":3}'), ("b", ["a"], "all", '{"n": 1.5, "s":"A", "x":1}'), ("c", ["b", "a", None, "zz"], "none", "{}"), ("d", ["e"], "all", "no json"), ("e", ["d"], "all", None), ("a", ["z"], "all", "[]"), (None, [], "all", "{}"), ("f", ["zz"], "all", '{"n":8,"s":"é"}'), ("g", ["c"], None, '{"b":{"z":1,"a":"é\\n"},"a":NaN}'), ("h", ["d", "a"], "all", '{"s":"\\ud800","n":1}'), ("i", None, "all", '{"n":1e400,"s":"ab"}'), ("j", ["j"], "all", "1")]
     results = [("a", "ok"), ("a", "again"), ("c", None), ("orphan", "x"), (None, "y")]
-    df = spark.createDataFrame([(*c, 1) for c in calls], "call_id string, parent_id string, tool string, arguments string, depth int")
-    got = {r.call_id: r for r in toolcalls.link(df, spark.createDataFrame(results, "call_id string, content string"), toolcalls.TURN_SCHEMAS).collect()}
-    assert set(got) == {"a", "b", "c", "d", "e", "f", "g", "orphan"}
-    assert [got[k].depth for k in "abcdefg"] == [None if k in "de" else d for k, d in zip("abcdefg", [0, 1, 2, 0, 0, 0, 3])]
+    df = spark.createDataFrame([(*c, 1, 2) for c in calls], "call_id string, parents array<string>, tool string, arguments string, depth int, node int")
+    got = {r.call_id: r for r in toolcalls.link(df, spark.createDataFrame(results, "call_id string, content string"), SCHEMAS).collect()}
+    assert set(got) == {*"abcdefghij", "orphan"}
+    assert {k: got[k].depth for k in "abcdefghij"} == dict(a=0, b=1, c=2, d=None, e=None, f=0, g=3, h=None, i=0, j=None)
+    assert {k: (got[k].chain, got[k].position) for k in "abcdefghij"} == dict(a=("a", 0), b=("a", 1), c=("a", 2), g=("a", 3), d=("a", 4), e=("a", 5), h=("a", 6), f=("f", 0), i=("i", 0), j=("j", 0))
     assert (got["a"].n_calls, got["a"].n_results, got["a"].status) == (2, 2, "linked") and got["orphan"].status == "orphan" and got["b"].status == "unanswered"
-    assert got["b"].errors == "$.digest: required; $.chars: type; $.turn: type; $.x: additionalProperties"
-    assert got["c"].errors == "$: unknown tool" and got["d"].errors == "$: no JSON" and got["g"].errors == "$: no JSON" and got["e"].errors == "$: type"
-    assert got["f"].errors == "$.chars: maximum; $.digest: pattern"
-    assert got["f"].record == '{"arguments":{"chars":401,"digest":"é"},"id":"f","name":"open","result":null}'
-    assert json.loads(got["g"].record) == {"arguments": None, "id": "g", "name": None, "result": None}
-    none = toolcalls.link(df.limit(0), spark.createDataFrame([], "call_id string, content string"), {})
-    assert none.count() == 0
-
-
-def test_long_chain(spark):
-    n = 300
-    df = spark.createDataFrame([(f"c{i}", f"c{i - 1}" if i else None) for i in range(n)], "call_id string, parent_id string")
-    assert {r.call_id: r.depth for r in toolcalls.depths(df).collect()} == {f"c{i}": i for i in range(n)}
+    assert got["a"].errors == "$: type" and got["b"].errors == "$.n: type; $.s: minLength; $.s: pattern; $.x: additionalProperties"
+    assert got["c"].errors == "$: unknown tool" and all(got[k].errors == "$: no JSON" for k in "dghi") and got["e"].errors == "$: type"
+    assert got["f"].errors == "$.n: maximum; $.s: minLength; $.s: pattern"
+    assert got["f"].record == '{"arguments":{"n":8,"s":"é"},"id":"f","name":"all","result":null}'
+    assert json.loads(got["h"].record) == {"arguments": None, "id": "h", "name": "all", "result": None}
+    assert toolcalls.link(df.limit(0), spark.createDataFrame([], "call_id string, content string"), {}).count() == 0
+
+
+def test_canonical_json():
+    want = {"1": "1", "1.0": "1", "-0.0": "0", "1e21": "1e+21", "123456789012345678901": "123456789012345680000", "1E-7": "1e-7", "0.000001": "0.000001", "-1.50": "-1.5", "333333333.33333329": "333333333.3333333", "4.50": "4.5", "2e-3": "0.002", "1.5e300": "1.5e+300", "5e-324": "5e-324", "100": "100"}
+    assert {k: toolcalls.canonical(toolcalls._parsed(k)) for k in want} == want
+    assert toolcalls.canonical(toolcalls._parsed('{"\\ufb33":1,"\\ud83d\\ude00":2,"a":[true,null,"\\u001f/\\"é"]}')) == '{"a":[true,null,"\\u001f/\\"é"],"\U0001f600":2,"דּ":1}'
+
+
+def errors_brute(v):
+    """The rules of SCHEMAS["all"], written out."""
+    def number(x):
+        return type(x) in (int, float)
+
+    if type(v) is not dict:
+        return {"$: type"}
+    out = {f"$.{k}: required" for k in "ns" if k not in v} | {f"$.{k}: additionalProperties" for k in v if k not in "nselbo"}
+    for k, x in v.items():
+        if k == "n":
+            out |= {"$.n: type"} if not number(x) or x != int(x) else ({"$.n: minimum"} if x < -2 else set()) | ({"$.n: maximum"} if x > 7 else set())
+        elif k == "s":
+            out |= {"$.s: type"} if type(x) is not str else ({"$.s: minLength"} if len(x) < 2 else set()) | ({"$.s: maxLength"} if len(x) > 3 else set()) | (set() if x and all("a" <= c <= "z" for c in x) else {"$.s: pattern"})
+        elif k == "e":
+            out |= set() if x is None or (type(x) is str and x == "x") or (number(x) and x == 1) or (type(x) is list and len(x) == 1 and number(x[0]) and x[0] == 1) else {"$.e: enum"}
+        elif k == "l":
+            out |= {"$.l: type"} if type(x) is not list else {f"$.l[{i}]: type" for i, y in enumerate(x) if y is not None and not number(y)}
+        elif k in "bo":
+            out |= set() if type(x) is (bool if k == "b" else dict) else {f"$.{k}: type"}
+    return out
+
+
+def test_schema_rules_broken_one_and_all():
+    rng, seen = np.random.default_rng(6), set()
+    values = [None, True, False, 0, 1, 1.0, -3, 8, 2.5, "", "x", "ab", "abcd", "A1", [], [1], [1.0], [None, "x", True], {}, {"a": 1}]
+    for _ in range(3000):
+        v = {k: values[rng.integers(len(values))] for k in "nselbox" if rng.random() < 0.6}
+        v = v if rng.random() < 0.97 else values[rng.integers(len(values))]
+        got = toolcalls.schema_errors(toolcalls._parsed(json.dumps(v)), SCHEMAS["all"])
+        assert set(got) == errors_brute(v) and len(set(got)) == len(got), v
+        seen |= {e.split(": ")[1] for e in got}
+    assert seen == {"type", "required", "additionalProperties", "minimum", "maximum", "minLength", "maxLength", "pattern", "enum"}
+
+
+def test_depths_of_graphs(spark):
+    """Chains, trees, ladders and cycles against the longest way by plain recursion."""
+    rng = np.random.default_rng(7)
+    edges = {(i, i - 1) for i in range(1, 150)}
+    edges |= {(200 + i, 200 + int(p)) for i in range(1, 16) for p in set(rng.integers(max(0, i - 4), i, rng.integers(1, 3)))}
+    edges |= {(300, 301), (301, 302), (302, 300), (303, 300), (303, 0), (304, 303), (305, 305)}
+    nodes = sorted({x for e in edges for x in e} | {400})
+    up = defaultdict(set)
+    for a, b in edges:
+        up[a].add(b)
+    want = {n: None for n in range(300, 306)}
+    for n in nodes:
+        if n not in want:
+            want[n] = max((want[p] + 1 for p in up[n]), default=0)
+    got = toolcalls.depths(spark.createDataFrame(sorted(edges), "node long, parent long"), spark.createDataFrame([(n,) for n in nodes], "node long"))
+    assert {r.node: r.depth for r in got.collect()} == want
 
 
 VERSIONS = {"byte": "byte_bpe_50k.json", "word": "word_bpe_49k.json"}
