@@ -115,8 +115,8 @@ deep as (
   union
   select e.call_id, d.depth + 1 from edges e join deep d on e.parent = d.call_id),
 depths as (select call_id, max(depth) as depth from deep group by call_id),
-both as (select call_id as a, parent as b from edges union all select parent, call_id from edges),
-reach(node, seen) as (select call_id, call_id from one union select r.node, b.b from reach r join both b on r.seen = b.a),
+ways as (select call_id as a, parent as b from edges union all select parent, call_id from edges),
+reach(node, seen) as (select call_id, call_id from one union select r.node, b.b from reach r join ways b on r.seen = b.a),
 chains as (select node as call_id, min(seen) as chain from reach group by node),
 placed as (select call_id, chain, depth, row_number() over (partition by chain order by depth nulls last, call_id) - 1 as position from one join chains using (call_id) left join depths using (call_id))
 select coalesce(o.call_id, a.call_id) as call_id, array_to_string(parents, ',') as parents, tool, coalesce(n_calls, 0)::bigint as n_calls, coalesce(n_results, 0)::bigint as n_results,
