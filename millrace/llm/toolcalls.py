@@ -116,20 +116,34 @@ def checked_arguments(tool: Column, arguments: Column, schemas: dict[str, dict])
 def _settled(up: DataFrame, total: int) -> DataFrame:
     """up: node, anchor, k, lost. Follows anchors to one that is null (no call above) or its own; the distance doubles each round.
 
-    A node that comes back to itself, or still moves after as many steps as there are nodes, is on or behind a cycle:
-    it is lost and becomes its own anchor.
+    Only nodes that still move take part in a round, so that a few long chains cost no pass over all others. A node
+    that comes back to itself, or still moves after as many steps as there are nodes, is on or behind a
+    cycle: it is lost and becomes its own anchor.
     """
-    reach = 1
-    while True:
-        steps = up.filter("anchor is null or anchor <> node").select(F.col("node").alias("at"), F.col("anchor").alias("next"), F.col("k").alias("more"))
-        joined = up.join(steps, F.col("anchor") == F.col("at"), "left").withColumn("moved", F.col("at").isNotNull())
-        back = F.col("moved") & (F.lit(reach > total) | F.coalesce(F.col("next") == F.col("node"), F.lit(False)))
-        anchor = F.when(back, F.col("node")).when(F.col("moved"), F.col("next")).otherwise(F.col("anchor"))
-        old, up = up, staged(joined.select("node", anchor.alias("anchor"), F.when(back, 0).otherwise(F.col("k") + F.coalesce("more", F.lit(0))).alias("k"), (F.col("lost") | back).alias("lost"), "moved"), "anchors")
-        drop(old)
-        if reach > total or not up.filter("moved").take(1):
-            return up
-        reach *= 2
+    moves = F.col("anchor").isNotNull() & (F.col("anchor") != F.col("node"))
+    still, moving, reach = [up.filter(~moves)], staged(up.filter(moves), "moving"), 1
+    made = [moving]
+    while moving.take(1):
+        known = moving
+        for part in still:
+            known = known.unionByName(part)
+        known = known.select(F.col("node").alias("at"), F.col("anchor").alias("next"), F.col("k").alias("more"))
+        joined = moving.join(known, F.col("anchor") == F.col("at"))
+        root = F.col("next").isNotNull() & (F.col("next") == F.col("at"))
+        back = ~root & F.col("next").isNotNull() & (F.lit(reach > total) | (F.col("next") == F.col("node")))
+        anchor = F.when(root, F.col("at")).when(back, F.col("node")).otherwise(F.col("next"))
+        k = F.when(root, F.col("k")).when(back, 0).otherwise(F.col("k") + F.col("more"))
+        done = root | back | F.col("next").isNull()
+        step = staged(joined.select("node", anchor.alias("anchor"), k.cast("long").alias("k"), back.alias("lost"), done.alias("done")), "anchors")
+        made.append(step)
+        still.append(step.filter("done").drop("done"))
+        moving, reach = step.filter("not done").drop("done"), reach * 2
+    out = still[0]
+    for part in still[1:]:
+        out = out.unionByName(part)
+    out = staged(out, "settled")
+    drop(up, *made)
+    return out
 
 
 def depths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
