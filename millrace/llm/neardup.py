@@ -416,14 +416,20 @@ def _near_duplicates(docs: DataFrame, row: str, percent: int, margin: float) ->
     return out.select("row", "doc_id", "n_shingles", F.col("lead.doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("lead.doc_id")).alias("kept"), (F.col("lead.row") == F.col("row")).alias("first"))
 
 
-def with_rows(docs: DataFrame, columns: list[str] | None = None, files: bool = False) -> tuple[DataFrame, str]:
+def as_read(docs: DataFrame) -> bool:
+    """Whether docs is a table of files just as spark.read gives it, with no union, explode or other step on top."""
+    return bool(docs.inputFiles()) and docs._jdf.queryExecution().analyzed().children().isEmpty()
+
+
+def with_rows(docs: DataFrame, columns: list[str] | None = None, files: bool = True) -> tuple[DataFrame, str]:
     """docs (or columns of it) with a column of distinct row numbers, the same in every run, and that column's name.
 
-    With files, docs is a table just as spark.read gives it, and its rows are numbered by their file, in
-    the order of paths, and their place in it; else docs is written first.
+    Rows of a table as read from files are numbered by their file, in the order of paths, and their place in
+    it; any other table is written first, as its rows may share a place or have none. Without files, every
+    table is written first.
     """
     row, columns = fresh(docs, "row"), columns or docs.columns
-    if not files:
+    if not (files and as_read(docs)):
         return staged(docs.select(*columns, F.monotonically_increasing_id().alias(row)), "rows"), row
     name, number = fresh(docs, "row_file"), fresh(docs, "row_file_number")
     place = docs.metadataColumn("_metadata")
@@ -434,7 +440,7 @@ def with_rows(docs: DataFrame, columns: list[str] | None = None, files: bool = F
     return at.select(*columns, (F.shiftleft(number, 40) + F.col(fresh(docs, "row_index"))).alias(row)), row
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = 75, files: bool = False) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = 75, files: bool = True) -> DataFrame:
     """docs with the first document of each component, all columns as they are; files as for with_rows.
 
     Documents without a word or with null text all stay, and so does the first of rows alike in all

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from test_documents import ODD, crc, quality_brute, secret_brute, shingles
 from tokenizers import Tokenizer
 
@@ -102,6 +103,23 @@ def test_neardup_stage(spark, odd_docs):
         assert least == (key[0] is None, key[0] or 0)
 
 
+def test_neardup_stage_on_derived_tables(spark, odd_docs, tmp_path):
+    """Unions and exploded rows of a table in files have no place of their own there: the copies go all the same."""
+    odd_docs.repartition(2).write.parquet(f"file://{tmp_path}/docs")
+    read = spark.read.parquet(f"file://{tmp_path}/docs")
+    want = Counter(r.doc_id for r in corpus_pipeline.minhash_neardup(spark, read.filter("doc_id > 0"), "").collect())
+    later = F.col("doc_id") + F.col("copy") * 1000
+    twice = read.filter("doc_id > 0").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("doc_id", later).drop("copy")
+    union = read.filter("doc_id > 0").unionByName(read.filter("doc_id > 0").withColumn("doc_id", F.col("doc_id") + 1000))
+    for docs in (twice, union):
+        got = corpus_pipeline.minhash_neardup(spark, docs, "")
+        assert got.columns == read.columns
+        left = Counter(r.doc_id for r in got.collect())
+        wordless = {1, 2, 3}
+        assert {d: n for d, n in left.items() if d < 1000} == want
+        assert {d - 1000 for d in left if d > 1000} == wordless
+
+
 def test_secret_stage(spark, odd_docs):
     got = corpus_pipeline.secret_scan(spark, odd_docs, "")
     assert got.columns == odd_docs.columns
