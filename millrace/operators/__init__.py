@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Keys with two numbers each are broadcast up to so many rows; beyond it, Spark shuffles both sides.
+BROADCAST_KEYS = 500_000
+
+
 def range_join(left: DataFrame, right: DataFrame, at: str, start: str, end: str, width: float, on: list[str] | None = None) -> DataFrame:
     """Pairs with start <= at < end (and equal on columns, which right names with an r_): an equi-join on position buckets of width.
 
@@ -225,7 +229,8 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, name: str, other: str, most
         return df.groupBy("k").agg(F.ceil(F.count("*") / group).alias("n")).filter("n > 1")
 
     na, nb = blocks(a).select("k", F.col("n").alias("na")), blocks(b).select("k", F.col("n").alias("nb"))
-    hot = F.broadcast(na.join(nb, "k", "full").select("k", F.coalesce("na", F.lit(1)).alias("na"), F.coalesce("nb", F.lit(1)).alias("nb")))
+    hot = na.join(nb, "k", "full").select("k", F.coalesce("na", F.lit(1)).alias("na"), F.coalesce("nb", F.lit(1)).alias("nb"))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
 
     def dealt(df: DataFrame, own: str, others: str) -> DataFrame:
         cut = df.join(hot, "k", "left").fillna(1, ["na", "nb"])
