@@ -9,7 +9,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white-space characters.
@@ -87,6 +87,21 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame, order: list[str], name: str, parts: int | None = None) -> DataFrame:
+    """df with name: the place of each row, from 0, in the order of columns that together are distinct.
+
+    One range-partitioned sort, staged; only the row counts by partition are gathered.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at, part, of, base = (fresh(df, c) for c in ("at", "part", "of_part", "base"))
+    run = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    run = staged(run.select("*", F.monotonically_increasing_id().alias(at), F.spark_partition_id().alias(part)), "numbered")
+    counts = run.groupBy(F.col(part).alias(of)).agg(F.count("*").alias("n"), F.min(at).alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(of).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(of, (before - F.col("first")).alias(base))  # a row for each partition
+    return run.join(F.broadcast(counts), F.col(part) == F.col(of)).withColumn(name, F.col(at) + F.col(base)).select(*df.columns, name)
+
+
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

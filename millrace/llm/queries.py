@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing, quality, rollup, secrets, shards, tokenfiles, toolcalls, vectors
+from . import mixing, neardup, packing, quality, resample, rollup, secrets, shards, tokenfiles, toolcalls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def text_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, row).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), "doc_id")
+
+
 def queries() -> dict:
     return {
         "op1_mixing_weights": mixing_weights,
@@ -69,6 +73,7 @@ def queries() -> dict:
         "op8_secret_scan": secret_scan,
         "op9_token_files": token_files,
         "op10_text_neardup": text_neardup,
+        "op11_importance_resampling": importance_resampling,
     }
 
 
