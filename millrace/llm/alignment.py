@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, staged
-from .tokens import _LETTERS, ChunkEncoder, slices
+from .tokens import _LETTERS, ChunkEncoder, _Chunks, slices
 
 #: So many of the most frequent pairs at most are broadcast, some 25 bytes each.
 MOST_PAIRS = 500_000
@@ -49,7 +49,7 @@ class PieceEncoder:
     def __init__(self, path: str, cache_entries: int = 600_000):
         import sentencepiece
 
-        self.model, self.limit, self.units = sentencepiece.SentencePieceProcessor(model_file=path), cache_entries, {}
+        self.model, self.limit, self.units = sentencepiece.SentencePieceProcessor(model_file=path), cache_entries, _Chunks(self._unit)
         ids = range(self.model.vocab_size())
         pieces = [self.model.id_to_piece(i) for i in ids]
         self.bytes = [bytes([int(p[1:-1], 16)]) if self.model.is_byte(i) else b"" if self.model.is_control(i) else p.replace("▁", " ").encode() for i, p in zip(ids, pieces)]
@@ -77,15 +77,8 @@ class PieceEncoder:
             return [np.array(self.model.encode(t), self.dtype).tobytes() for t in texts]
         if len(self.units) > self.limit:
             self.units.clear()
-        units, out = self.units, []
-        for t in texts:
-            found = _UNITS.findall(" " + t) if t else []
-            try:
-                out.append(b"".join([units[u] for u in found]))
-            except KeyError:
-                units.update({u: self._unit(u) for u in {*found} - units.keys()})
-                out.append(b"".join([units[u] for u in found]))
-        return out
+        get = self.units.__getitem__
+        return [b"".join(map(get, _UNITS.findall(" " + t))) if t else b"" for t in texts]
 
 
 _encoders: dict[tuple[str, str], tuple[ByteEncoder, PieceEncoder]] = {}
