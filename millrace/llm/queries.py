@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, mixing, neardup, packing, quality, resample, rollup, secrets, shards, tokenfiles, toolcalls, vectors
+from . import alignment, mixing, neardup, packing, pii, quality, resample, rollup, secrets, shards, tokenfiles, toolcalls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), "doc_id")
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -78,6 +82,7 @@ def queries() -> dict:
         "op9_token_files": token_files,
         "op10_text_neardup": text_neardup,
         "op11_importance_resampling": importance_resampling,
+        "op12_personal_data": personal_data,
         "op13_token_alignment": token_alignment,
     }
 
