@@ -39,6 +39,10 @@ class ByteEncoder(ChunkEncoder):
         letters = {ord(c): b for b, c in _LETTERS.items()}
         self.bytes = [(self.tokenizer.id_to_token(i) or "").translate(letters).encode("latin-1", "replace") for i in range(self.tokenizer.get_vocab_size())]
 
+    def same(self, ids: np.ndarray, raw: bytes) -> bool:
+        """Whether the bytes of ids are raw; without a normalizer, the bytes of any text come back."""
+        return self.kind == "spaced" or b"".join([self.bytes[i] for i in ids.tolist()]) == raw
+
 
 class PieceEncoder:
     """Ids of texts by a sentencepiece model, packed; each distinct unit is encoded once. bytes: those of each id.
@@ -53,7 +57,7 @@ class PieceEncoder:
         ids = range(self.model.vocab_size())
         pieces = [self.model.id_to_piece(i) for i in ids]
         self.bytes = [bytes([int(p[1:-1], 16)]) if self.model.is_byte(i) else b"" if self.model.is_control(i) else p.replace("▁", " ").encode() for i, p in zip(ids, pieces)]
-        self.dtype = np.dtype("<u2" if len(pieces) <= 1 << 16 else "<u4")
+        self.dtype = np.dtype("<u2" if len(pieces) < 1 << 16 else "<u4")
         apart = all("\n" not in p and "▁" not in p.lstrip("▁") for p in pieces)
         self.whole = not apart or any(self._joined(self.model.encode(t)) != b" " + t.encode() for t in ("\n", " \n", "a  b \n c"))
 
@@ -69,7 +73,11 @@ class PieceEncoder:
             ids = encode(unit[1:])
         else:
             ids = encode(unit)[1:] if unit == "\n" else encode("\n" + unit)[2:]
-        return np.array(ids, self.dtype).tobytes()
+        return np.array(ids if self._joined(ids) == unit.encode() else [len(self.bytes)], self.dtype).tobytes()
+
+    def same(self, ids: np.ndarray, raw: bytes) -> bool:
+        """Whether the bytes of ids are raw. Units that are not given back have an id beyond all others."""
+        return self._joined(ids.tolist()) == raw if self.whole else not len(ids) or int(ids.max()) < len(self.bytes)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of texts, each of which gets a space in front; empty ones have none."""
@@ -154,7 +162,7 @@ class Aligner:
         both = [], []
         for t, x, y in zip(known, self.a.encode([" " + t for t in known]), self.b.encode(known)):
             i, j, raw = np.frombuffer(x, self.a.dtype), np.frombuffer(y, self.b.dtype), b" " + t.encode()
-            same = t and all(b"".join(map(e.bytes.__getitem__, ids.tolist())) == raw for e, ids in ((self.a, i), (self.b, j)))
+            same = t and self.a.same(i, raw) and self.b.same(j, raw)
             for ids, out in zip((i, j), both):
                 out.append(ids if same else ids[:0])
         return both
