@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 from contextlib import contextmanager
 
 import numpy as np
@@ -22,6 +23,7 @@ BROADCAST_ROWS = 500_000
 
 _own_dirs: dict[str, str] = {}
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,15 +65,33 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
+    for paths in _open:
+        paths.append(path)
     return out
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing will read again, neither directly nor through what was made of them."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop(table))
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _delete(table.sparkSession, _paths.pop(table))
+
+
+def staged_alone(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """What make gives, staged; the tables that make staged on the way are deleted."""
+    _open.append(paths := [])
+    try:
+        out = staged(make(), tag)
+    finally:
+        _open.remove(paths)
+    for path in paths:
+        if path != _paths[out]:
+            _delete(out.sparkSession, path)
+    return out
 
 
 def checked(df: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ its width has room for.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import spans as S
 from .common import fresh, staged
 
 # Kinds in the order in which spans are listed, their patterns, the group that
@@ -30,45 +31,22 @@ SCOPE = 256
 
 
 def _found(text: Column, kind: str) -> Column:
-    """Matches of a kind in order: characters before it since the last one, its own characters, whether it is long enough.
-
-    The parts between matches give the positions: splitting and extracting walk over the same matches.
-    """
     pattern, group, least = PATTERNS[kind]
-    gaps, whole, part = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    made = F.transform(F.arrays_zip(whole.alias("w"), part.alias("p"), F.slice(gaps, 1, F.size(whole)).alias("g")), lambda x, i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("i"), F.length(x["g"]).alias("gap"), F.length(x["w"]).alias("size"), (F.length(x["p"]) >= least).alias("ok")))
-    return made
+    return S.matches(text, KINDS.index(kind), pattern, lambda part: F.length(part) >= least, group)
 
 
 def candidates(text: Column) -> Column:
     """All matches of all kinds in a text, as one array; weak kinds only beside an identifier or a secret."""
-    none = F.expr("cast(array() as array<struct<kind:int,i:int,gap:int,size:int,ok:boolean>>)")
-
     def of(kind: str, when: Column) -> Column:
-        return F.when(when, _found(text, kind)).otherwise(none)
+        return F.when(when, _found(text, kind)).otherwise(S.none(S.MATCH))
 
     has = {k: text.rlike(PATTERNS[k][0]) for k in KINDS}
     return F.concat(of("assign", has["assign"]), of("access", has["access"]), of("hex", has["hex"]), of("key", has["access"] & has["key"]), of("endpoint", has["access"] & has["endpoint"]))
 
 
-def _bucketed(spans: DataFrame, margin: int) -> DataFrame:
-    """A row for each position bucket that a span, widened by margin, touches."""
-    first, last = F.expr(f"floor((start - {margin}) / {SCOPE})"), F.expr(f"floor((end + {margin}) / {SCOPE})")
-    return spans.withColumn("bucket", F.explode(F.sequence(first, last)))
-
-
 def near(spans: DataFrame, others: DataFrame, within: int) -> DataFrame:
     """The spans that have one of others within so many characters in their text (0: that they overlap or touch)."""
-    a, b = _bucketed(spans, within), _bucketed(others, 0).select(F.col("row").alias("r"), F.col("bucket").alias("k"), F.col("start").alias("s"), F.col("end").alias("e"))
-    return a.join(b, (F.col("row") == F.col("r")) & (F.col("bucket") == F.col("k")) & (F.col("s") <= F.col("end") + within) & (F.col("e") >= F.col("start") - within), "left_semi").drop("bucket").distinct()
-
-
-def _placed(found: DataFrame) -> DataFrame:
-    """found: row, found. The matches that are long enough: row, kind, start, end (characters, end exclusive)."""
-    flat = found.select("row", F.inline("found"))
-    order = Window.partitionBy("row", "kind").orderBy("i")
-    start = F.sum("gap").over(order) + F.sum("size").over(order) - F.col("size")
-    return flat.select("row", "kind", start.alias("start"), (start + F.col("size")).alias("end"), "ok").filter("ok").drop("ok")
+    return S.near(spans, others, within, SCOPE)
 
 
 def link(spans: DataFrame) -> DataFrame:
@@ -81,69 +59,61 @@ def link(spans: DataFrame) -> DataFrame:
     return base.union(keys.select(base.columns)).union(points.select(base.columns))
 
 
-def _listed(spans: Column, keep: int) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
-    wanted = F.filter(spans, lambda s: s["kind"] < keep)
-    return F.array_join(F.transform(wanted, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
-
-
 def _same(number: int):
     return lambda x: x == number
 
 
+def _scanned(docs: DataFrame, row: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents without a match of a strong pattern; the others, stored with a number each; and these numbers' spans."""
+    raw, text = fresh(docs, "scan_raw"), F.coalesce(F.col("text"), F.lit(""))
+    hit = text.rlike(PATTERNS["assign"][0]) | text.rlike(PATTERNS["access"][0]) | text.rlike(PATTERNS["hex"][0])
+    stored = staged(docs.filter(hit).withColumn(raw, candidates(text)).withColumn(row, F.monotonically_increasing_id()), "scanned")
+    return docs.filter(~hit), stored, link(staged(S.placed(stored.select(F.col(row).alias("row"), F.col(raw).alias("found"))), "spans"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """docs (all columns) with found: an array of spans (start, kind, end) by start and kind, both as numbers.
 
-    Positions count characters of the whole text, ends excluded; kind numbers index KINDS. A
+    Positions count characters of the whole text, however long, ends excluded; kind numbers index KINDS. A
     null or empty text has no spans. Rows alike are scanned each for itself; an empty table gives
     an empty result. A column of docs that is called found stays, and the new one ends in an underscore.
     Only documents with a match of a strong pattern are stored on the way.
     """
-    row, raw, of, all_, out = (fresh(docs, c) for c in ("scan_row", "scan_raw", "scan_of", "scan_spans", "found"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    hit = text.rlike(PATTERNS["assign"][0]) | text.rlike(PATTERNS["access"][0]) | text.rlike(PATTERNS["hex"][0])
-    stored = staged(docs.filter(hit).withColumn(raw, candidates(text)).withColumn(row, F.monotonically_increasing_id()), "scanned")
-    spans = link(staged(_placed(stored.select(F.col(row).alias("row"), F.col(raw).alias("found"))), "spans"))
+    row, of, all_, out = (fresh(docs, c) for c in ("scan_row", "scan_of", "scan_spans", "found"))
+    clean, stored, spans = _scanned(docs, row)
     listed = spans.groupBy(F.col("row").alias(of)).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias(all_))
-    none = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")
-    joined = stored.join(listed, stored[row] == F.col(of), "left").withColumn(out, F.coalesce(all_, none))
-    return docs.filter(~hit).withColumn(out, none).union(joined.select(*docs.columns, out))
+    joined = stored.join(listed, stored[row] == F.col(of), "left").withColumn(out, F.coalesce(all_, S.none(S.SPAN)))
+    return clean.withColumn(out, S.none(S.SPAN)).union(joined.select(*docs.columns, out))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans: the digest of a scan, without carrying texts on.
 
-    Null and empty texts have no spans: counts of 0, the digest of nothing and an empty list. Repeated rows come
+    Texts of any length are scanned whole. Null and empty ones have no spans: counts of 0, the digest of nothing and an empty list. Repeated rows come
     each for itself, an empty table gives an empty result, and columns other than doc_id and text are not used.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = staged(docs.select("doc_id", candidates(text).alias("found"), F.monotonically_increasing_id().alias("row")), "scanned")
-    spans = link(staged(_placed(slim.filter(F.size("found") > 0).select("row", "found")), "spans"))
+    spans = link(staged(S.placed(slim.filter(F.size("found") > 0).select("row", "found")), "spans"))
     listed = spans.groupBy(F.col("row").alias("of")).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("all"))
     joined = slim.select("doc_id", "row").join(listed, F.col("row") == F.col("of"), "left")
-    joined = joined.withColumn("all", F.coalesce("all", F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")))
+    joined = joined.withColumn("all", F.coalesce("all", S.none(S.SPAN)))
     counts = [F.size(F.filter(F.col("all")["kind"], _same(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
-    return joined.select("doc_id", *counts, F.sha2(_listed(F.col("all"), len(BASE)), 256).alias("base_sha256"), _listed(F.col("all"), len(KINDS)).alias("spans"))
+    return joined.select("doc_id", *counts, F.sha2(S.listed(F.col("all"), KINDS, len(BASE)), 256).alias("base_sha256"), S.listed(F.col("all"), KINDS, len(KINDS)).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every reported span of the text replaced by mark (overlapping spans by one), and n_chars anew where there is one.
+    """docs with every reported span of the text replaced by mark (overlapping spans by one), and n_chars anew.
 
     Null and empty texts stay as they are; rows, repeated ones too, all stay; an empty table gives an empty result; columns
-    of any name are carried along.
+    of any name are carried along. The time that a text takes grows with its length and with its spans, each by itself.
     """
-    found = fresh(docs, "found")
-    scanned = scan(docs)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(done: Column, span: Column) -> Column:
-        skip = span["end"] <= done["at"]
-        between = F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.greatest(span["start"] - done["at"], F.lit(0)).cast("int"))
-        piece = F.concat(done["out"], between, F.when(span["start"] < done["at"], F.lit("")).otherwise(F.lit(mark)))
-        return F.struct(F.when(skip, done["at"]).otherwise(span["end"]).alias("at"), F.when(skip, done["out"]).otherwise(piece).alias("out"))
-
-    clean = F.aggregate(found, zero, step, lambda done: F.concat(done["out"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text"))))
-    out = scanned.withColumn("text", F.when(F.size(found) > 0, clean).otherwise(F.col("text"))).drop(found)
+    row, of, at, rest, parts = (fresh(docs, c) for c in ("scan_row", "scan_of", "scan_cuts", "scan_rest", "scan_parts"))
+    clean, stored, spans = _scanned(docs, row)
+    cut = S.cuts(spans).withColumnsRenamed({"of": of, "cuts": at, "rest": rest})
+    joined = stored.join(cut, F.col(row) == F.col(of), "left").withColumn(parts, S.pieces(F.col("text")))
+    text = S.replaced(parts, at, rest, F.length("text"), lambda kind: F.lit(mark))
+    out = clean.union(joined.withColumn("text", F.when(F.col(at).isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -411,3 +411,12 @@ def test_registered_names():
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
     assert set(registered.oracle_sql()) <= set(names)
     assert pd.Series(list(names)).is_unique
+
+
+def test_redact_of_many_spans_takes_time_in_step(spark):
+    """100,000 spans in one text, and spans that overlap at borders of the pieces that texts are cut into."""
+    text = "password: hunter2hunter2 and more " * 100_000
+    edge = "z" * 4090 + " secret=" + "a1" * 20 + "f" * 40 + " \U0001f600" * 3000 + "token=abcdefghij"
+    df = spark.createDataFrame([(1, text), (2, edge), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert got == {1: "[SECRET] and more " * 100_000, 2: "z" * 4090 + " [SECRET]" + " \U0001f600" * 3000 + "[SECRET]", 3: None}

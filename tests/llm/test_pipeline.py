@@ -187,3 +187,14 @@ def test_run_on_an_empty_table(spark, odd_docs, tmp_path):
         assert stage(spark, none, "").count() == 0
     none.write.parquet(f"file://{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_run_leaves_no_stage_behind(spark, sf_dir, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        corpus_pipeline.run(spark, sf_dir).count()
+    finally:
+        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+    left = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "millrace").iterdir()}
+    assert left & {"quality_rules", "minhash_neardup", "secret_scan", "host-failures", "scanned", "spans"} == set() and "mixing_weights" in left
