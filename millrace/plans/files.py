@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import sources
 from ..operators.scores import PARTS, SCORES, card_scores, row_mean
 from ..scratch import folder
+from ..sources.xz import XzLines
 from .registry import registrar
 
 QUERIES: dict = {}
@@ -40,6 +41,17 @@ def jsonl_round_trip(t):
     return rows.groupBy("event_type", (F.col("props.k") % 7).alias("k")).agg(F.count("*").alias("n"))
 
 
+@query("select doc_id, length(text) as chars, md5(text) as digest from documents")
+def xz_lines(t):
+    """JSON lines in .xz files of many blocks, written and read back: partitions are runs of blocks."""
+    t.spark.dataSource.register(XzLines)
+    out = folder(t.spark, "xz")
+    lines = t.documents.select(F.to_json(F.struct("doc_id", "text")).alias("value"))
+    lines.write.format("xz_lines").option("blockBytes", 1 << 18).mode("append").save(out)
+    read = t.spark.read.format("xz_lines").option("splitBytes", 1 << 20).load(out).select(F.from_json("value", "doc_id long, text string").alias("d"))
+    return read.select("d.doc_id", F.length("d.text").cast("long").alias("chars"), F.md5("d.text").alias("digest"))
+
+
 @query("select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as qty from lineitem group by all")
 def partitioned_sink(t):
     """Parquet by two partition columns, read back with the folders' values."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..functions import experiment_name, experiment_parts, flops_ratio, power_law_loss, run_time
 from ..operators import asof_join, interpolated, least_squares, nearest_join, power_law, ranked, running_max, sessions, tile, z_scores
+from ..streaming import stateful
 from .registry import registrar
 
 QUERIES: dict = {}
@@ -208,3 +209,29 @@ def stream_user_totals(t):
     """Totals by user in state of our own, given out in update mode."""
     rows = streaming.drained(streaming.totals(streaming.stream_of(t.spark, t.sf_dir, "events"), "user_id", "value"), "update", "user_id")
     return rows.select("user_id", "n", F.round("total", 4).alias("total"), "most")
+
+
+def _timed(t):
+    return t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value", F.col("event_type").alias("kind"))
+
+
+_HALF = "2024-01-16"
+
+
+@query("with b as (select *, case when ts - lag(ts) over w < interval '30 minutes' then 0 else 1 end as new from events window w as (partition by user_id order by ts, event_id)), c as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from b) select user_id, min(ts) as start, max(ts) as last, count(*) as n, round(sum(value), 4) as total, count(distinct event_type)::int as kinds from c group by user_id, k having (epoch_us(max(ts)) + 1800000000 + 999) // 1000 <= (select epoch_us(max(ts)) // 1000 - 3600000 from events)")
+def stream_closed_sessions(t):
+    """Sessions that the watermark has passed, from state with timers; that of open ones is all that stays."""
+    rows, half = _timed(t), F.col("ts") < F.lit(_HALF).cast("timestamp")
+    with stateful.rocks_state(t.spark):
+        closed, _ = stateful.in_runs([rows.filter(half), rows.filter(~half)], lambda e: stateful.expiring_sessions(e, "user_id", 1800))
+    times = [F.timestamp_micros(c).cast("timestamp_ntz").alias(c) for c in ("start", "last")]
+    return closed.select("user_id", *times, "n", F.round("total", 4).alias("total"), "kinds")
+
+
+@query(f"with e as (select epoch_us(ts) as u, ts < timestamp '{_HALF}' as early from events), w as (select max(u) filter (where early) // 1000 - 3600000 as w1, max(u) // 1000 - 3600000 as w2 from e) select 0 as run, count(*) filter (where early) as input_rows, 0 as late_rows from e union all select 1, count(*) filter (where not early), count(*) filter (where not early and u <= w1 * 1000) from e, w union all select 2, count(*), count(*) filter (where u <= w2 * 1000) from e, w")
+def stream_late_rows(t):
+    """What each of three runs dropped as late: the first half of the time, the second, and all of it again."""
+    rows, half = _timed(t), F.col("ts") < F.lit(_HALF).cast("timestamp")
+    with stateful.rocks_state(t.spark):
+        _, progress = stateful.in_runs([rows.filter(half), rows.filter(~half), rows], lambda e: stateful.expiring_sessions(e, "user_id", 1800))
+    return progress.select("run", "input_rows", "late_rows")
