@@ -12,6 +12,9 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import fresh
+from .ordered import asof_join, interpolated, nearest_join, ranked, running_max, sessions  # noqa: F401
+
 
 #: Keys with two numbers each are broadcast up to so many rows; beyond it, Spark shuffles both sides.
 BROADCAST_KEYS = 500_000
@@ -28,63 +31,20 @@ def range_join(left: DataFrame, right: DataFrame, at: str, start: str, end: str,
     return a.join(b, same & (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("bucket_", "bucket__")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str, name: str) -> DataFrame:
-    """left with the value of the latest right row of its keys at or before it; a sorted union and one window, no pairs."""
-    both = left.withColumn("side_", F.lit(1)).unionByName(right.select(*by, at, F.col(value).alias(name), F.lit(0).alias("side_")), allowMissingColumns=True)
-    latest = F.last(name, ignorenulls=True).over(Window.partitionBy(*by).orderBy(at, "side_").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn(name, latest).filter("side_ = 1").drop("side_")
-
-
-def sessions(events: DataFrame, by: str, at: Column, gap_s: int, *tie: str) -> DataFrame:
-    """events with session, numbered from 1 for each key; a new one starts after a gap of more than gap_s seconds."""
-    order = Window.partitionBy(by).orderBy(at, *tie)
-    new = F.coalesce(at - F.lag(at).over(order) > gap_s, F.lit(True)).cast("int")
-    return events.withColumn("new_", new).withColumn("session", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new_")
-
-
-def interpolated(df: DataFrame, by: str, x: str, y: str, *tie: str) -> DataFrame:
-    """df with y filled between its known neighbours on a straight line over x; outside them it stays null."""
-    order = Window.partitionBy(by).orderBy(x, *tie)
-    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    known = F.when(F.col(y).isNotNull(), F.struct(F.col(x).cast("double").alias("x"), F.col(y).alias("y")))
-    out = df.withColumn("a_", F.last(known, ignorenulls=True).over(before)).withColumn("b_", F.first(known, ignorenulls=True).over(after))
-    line = F.col("a_.y") + (F.col("b_.y") - F.col("a_.y")) * F.try_divide(F.col(x) - F.col("a_.x"), F.col("b_.x") - F.col("a_.x"))
-    return out.withColumn(f"{y}_filled", F.coalesce(y, line)).drop("a_", "b_")
-
-
 def cut_at(value: str, splits: Column) -> Column:
     """The number of splits below value: a piece that depends on the value alone, 0 for null."""
     return F.coalesce(F.size(F.filter(splits, lambda x: x < F.col(value))), F.lit(0))
 
 
-def in_pieces(df: DataFrame, by: str, value: str, pieces: int = 64, accuracy: int = 10_000) -> DataFrame:
-    """df with piece_: each group of by is cut at about equal counts of value; equal values share a piece, and pieces ascend with value.
+def in_pieces(df: DataFrame, by: str, value: str, pieces: int = 64, accuracy: int = 10_000) -> tuple[DataFrame, str]:
+    """df with a further column, and its name: each group of by is cut at about equal counts of value; equal values share a piece, and pieces ascend with value.
 
     The cuts come from one quantile sketch for each group, so that a group of any size spreads over tasks.
     """
+    piece, of, splits = fresh(df, "piece", "of", "splits")
     cuts = F.percentile_approx(value, [i / pieces for i in range(1, pieces)], accuracy)
-    splits = df.groupBy(F.col(by).alias("by_")).agg(cuts.alias("splits_"))
-    return df.join(splits, F.col(by).eqNullSafe(F.col("by_"))).withColumn("piece_", cut_at(value, F.col("splits_"))).drop("by_", "splits_")
-
-
-def ranked(df: DataFrame, by: str, value: str, *tie: str, pieces: int = 64) -> DataFrame:
-    """df with its ranks in each group of by, value descending, nulls last: rank, dense, number (by tie too), cume, total.
-
-    cume is the number of rows with the same or a greater value. No task sorts a whole group: ranks within a piece
-    are raised by the counts of the pieces above it.
-    """
-    w = Window.partitionBy(by, "piece_").orderBy(F.col(value).desc())
-    tied = Window.partitionBy(by, "piece_").orderBy(F.col(value).desc(), *tie)
-    cut = in_pieces(df, by, value, pieces)
-    own = cut.select("*", F.rank().over(w).alias("rank"), F.dense_rank().over(w).alias("dense"), F.row_number().over(tied).alias("number"), F.count("*").over(w).alias("cume"))
-    distinct = F.count_distinct(value) + F.max(F.col(value).isNull().cast("int"))
-    sizes = cut.groupBy(F.col(by).alias("by_"), F.col("piece_").alias("of_")).agg(F.count("*").alias("n_"), distinct.alias("d_"))
-    group = Window.partitionBy("by_")
-    above = group.orderBy(F.col("of_").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("by_", "of_", F.coalesce(F.sum("n_").over(above), F.lit(0)).alias("rows_"), F.coalesce(F.sum("d_").over(above), F.lit(0)).alias("values_"), F.sum("n_").over(group).alias("total"))
-    out = own.join(sizes, F.col(by).eqNullSafe(F.col("by_")) & (F.col("piece_") == F.col("of_")))
-    more = {"rank": "rows_", "dense": "values_", "number": "rows_", "cume": "rows_"}
-    return out.withColumns({c: F.col(c) + F.col(m) for c, m in more.items()}).drop("by_", "of_", "rows_", "values_", "piece_")
+    found = df.groupBy(F.col(by).alias(of)).agg(cuts.alias(splits))
+    return df.join(found, F.col(by).eqNullSafe(F.col(of))).withColumn(piece, cut_at(value, F.col(splits))).drop(of, splits), piece
 
 
 def tile(number: Column, total: Column, tiles: int) -> Column:
@@ -94,17 +54,6 @@ def tile(number: Column, total: Column, tiles: int) -> Column:
     return F.when(number <= edge, F.floor((number - 1) / (size + 1)) + 1).otherwise(F.floor((number - 1 - edge) / F.greatest(size, F.lit(1))) + larger + 1)
 
 
-def running_max(df: DataFrame, by: str, at: str, value: str, name: str, *tie: str, pieces: int = 64) -> DataFrame:
-    """df with the greatest value of its group so far in the order of at and tie, its own included; no task sorts a whole group."""
-    cut = in_pieces(df, by, at, pieces)
-    best = cut.groupBy(F.col(by).alias("by_"), F.col("piece_").alias("of_")).agg(F.max(value).alias("best_"))
-    before = F.max("best_").over(Window.partitionBy("by_").orderBy("of_").rowsBetween(Window.unboundedPreceding, -1))
-    best = best.select("by_", "of_", before.alias("before_"))
-    inside = F.max(value).over(Window.partitionBy(by, "piece_").orderBy(at, *tie).rowsBetween(Window.unboundedPreceding, 0))
-    out = cut.withColumn(name, inside).join(best, F.col(by).eqNullSafe(F.col("by_")) & (F.col("piece_") == F.col("of_")))
-    return out.withColumn(name, F.greatest(name, "before_")).drop("by_", "of_", "before_", "piece_")
-
-
 def z_scores(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
     """df with value less its group's mean in units of its deviation; null where that is zero. Groups are aggregated and joined back."""
     stats = df.groupBy(F.col(by).alias("by_")).agg(F.avg(value).alias("mean_"), F.stddev(value).alias("deviation_"))
@@ -112,19 +61,6 @@ def z_scores(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
     return out.withColumn(name, F.try_divide(F.col(value) - F.col("mean_"), F.col("deviation_"))).drop("by_", "mean_", "deviation_")
 
 
-def nearest_join(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str, name: str) -> DataFrame:
-    """left with the value of the right row of its keys whose at is nearest, the earlier one of two as near; null where there is none.
-
-    at is a number, distinct by key in right. A sorted union and two windows, no pairs.
-    """
-    both = left.withColumn("side_", F.lit(1)).unionByName(right.select(*by, at, F.struct(F.col(at).alias("at"), F.col(value).alias("value")).alias("known_"), F.lit(0).alias("side_")), allowMissingColumns=True)
-    before = Window.partitionBy(*by).orderBy(at, "side_").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*by).orderBy(at, F.col("side_").desc()).rowsBetween(0, Window.unboundedFollowing)
-    out = both.withColumns({"a_": F.last("known_", ignorenulls=True).over(before), "b_": F.first("known_", ignorenulls=True).over(after)})
-    first = F.col("b_").isNull() | (F.col(at) - F.col("a_.at") <= F.col("b_.at") - F.col(at))
-    return out.withColumn(name, F.when(F.col("a_").isNotNull() & first, F.col("a_.value")).otherwise(F.col("b_.value"))).filter("side_ = 1").drop("side_", "known_", "a_", "b_")
-
-
 def added(original: DataFrame, expanded: DataFrame, key: str) -> DataFrame:
     """expanded with state: kept (a key and row of original), changed (its key, another row) or new; columns meet by name."""
     same = [c for c in original.columns if c != key]
@@ -134,18 +70,24 @@ def added(original: DataFrame, expanded: DataFrame, key: str) -> DataFrame:
 
 
 def frontier(df: DataFrame, cost: str, gain: str, pieces: int) -> DataFrame:
-    """The rows that no row of lower or equal cost beats in gain (Pareto), in two passes without a global sort.
+    """The rows that no row of lower or equal cost beats in gain, nor one of lower cost equals (Pareto), in two passes without a global sort.
 
-    Costs are cut into pieces of about equal count. The best gain by piece gives what lower pieces reach;
-    only rows above that are ranked within their piece. The window over pieces has so many rows at most.
+    Rows with a null cost or gain are on no frontier and beat nothing; rows equal in both stay or go together. Costs are cut into pieces of about
+    equal count. The best gain by piece gives what lower pieces reach; only rows above that are ranked within their piece. The window
+    over pieces has so many rows at most.
     """
-    splits = df.agg(F.percentile_approx(cost, [i / pieces for i in range(1, pieces)], 10_000)).first()[0]  # pieces - 1 numbers
-    cut = df.withColumn("piece_", cut_at(cost, F.array(*map(F.lit, splits))) if splits else F.lit(0))
-    best = cut.groupBy("piece_").agg(F.max(gain).alias("best_"))
-    before = best.select(F.col("piece_").alias("of_"), F.max("best_").over(Window.orderBy("piece_").rowsBetween(Window.unboundedPreceding, -1)).alias("reach_"))
-    left = cut.join(before, F.col("piece_") == F.col("of_")).filter(F.col("reach_").isNull() | (F.col(gain) > F.col("reach_")))
-    inside = F.max(gain).over(Window.partitionBy("piece_").orderBy(cost, F.col(gain).desc()).rowsBetween(Window.unboundedPreceding, -1))
-    return left.withColumn("inside_", inside).filter(F.col("inside_").isNull() | (F.col(gain) > F.col("inside_"))).drop("piece_", "of_", "reach_", "inside_")
+    piece, of, reach, inside, best = fresh(df, "piece", "of", "reach", "inside", "best")
+    known = df.filter(F.col(cost).isNotNull() & F.col(gain).isNotNull())
+    splits = known.agg(F.percentile_approx(cost, [i / pieces for i in range(1, pieces)], 10_000)).first()[0]  # pieces - 1 numbers
+    cut = known.withColumn(piece, cut_at(cost, F.array(*map(F.lit, splits))) if splits else F.lit(0))
+    by = cut.groupBy(F.col(piece).alias(of)).agg(F.max(gain).alias(best))
+    before = by.select(of, F.max(best).over(Window.orderBy(of).rowsBetween(Window.unboundedPreceding, -1)).alias(reach))
+    left = cut.join(F.broadcast(before), F.col(piece) == F.col(of)).filter(F.col(reach).isNull() | (F.col(gain) > F.col(reach)))
+    points = left.groupBy(F.col(piece), F.col(cost).alias(of)).agg(F.max(gain).alias(best))
+    lower = F.max(best).over(Window.partitionBy(piece).orderBy(of).rowsBetween(Window.unboundedPreceding, -1))
+    points = points.withColumn(inside, lower).filter(F.col(inside).isNull() | (F.col(best) > F.col(inside))).select(F.col(piece).alias(reach), of, best)
+    met = left.drop(of, reach).join(points, (F.col(piece) == F.col(reach)) & (F.col(cost) == F.col(of)) & (F.col(gain) == F.col(best)))
+    return met.select(*df.columns)
 
 
 def gram(df: DataFrame, columns: list[str]) -> np.ndarray:

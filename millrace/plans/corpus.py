@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import above_chance, clr, cosine, entropy, replace_zeros, share
-from ..operators import fuzzy_matches, nearest
+from ..operators import frequent, fuzzy_matches, nearest, sampling
 from .registry import registrar
 
 QUERIES: dict = {}
@@ -256,3 +256,16 @@ def fuzzy_names(t):
     a, b = t.part.select(F.col("p_name").alias("n")).distinct(), t.part.select(F.substr("p_name", F.lit(2)).alias("m")).distinct()
     plain = [F.regexp_replace(F.lower(c), "[^a-z0-9]", "") for c in "nm"]
     return fuzzy_matches(a, b, "n", "m", 2).select("n", "m", F.levenshtein(*plain).alias("edits"))
+
+
+@query("with w as (select unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as word from documents) select word, count(*) as n from w group by word having count(*) >= 0.002 * (select count(*) from w)")
+def heavy_words(t):
+    """Words that make up two in a thousand or more, counted exactly in a second pass over what a bounded sketch has found."""
+    words = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word"))
+    return frequent.frequent_items(words, "word", 0.002).select(F.col("item").alias("word"), "n")
+
+
+@query("with k as (select doc_id, source, -ln((('0x' || substr(md5('42:' || doc_id), 1, 13))::bigint + 0.5) / 4503599627370496) / n_chars as e from documents where n_chars > 0) select doc_id, source from k qualify row_number() over (partition by source order by e, doc_id) <= 12")
+def stratified_documents(t):
+    """Twelve documents of each source, drawn by their characters: the sample is what the query is for."""
+    return sampling.stratified(t.documents.select("doc_id", "source", "n_chars"), "source", "doc_id", 12, "n_chars").select("doc_id", "source")

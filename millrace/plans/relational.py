@@ -186,6 +186,14 @@ def pareto_frontier(t):
     return frontier(one, "p_size", "p_retailprice", 5).select("p_partkey", "p_size", "p_retailprice")
 
 
+@query("with e as (select event_id, user_id, case when event_type <> 'error' then value end as value, props from events), p as (select event_id, user_id, value, nullif(json_extract(props, '$.k')::int % 17, 0) as cost from e) select event_id, cost, value from p a where cost is not null and value is not null and not exists (select 1 from p b where (b.cost < a.cost and b.value >= a.value) or (b.cost = a.cost and b.value > a.value))")
+def pareto_unknown(t):
+    """A frontier of rows of which some have no cost and others no gain; rows equal in both stay together."""
+    value = F.when(F.col("event_type") != "error", F.col("value")).alias("value")
+    cost = F.nullif(F.get_json_object("props", "$.k").cast("int") % 17, F.lit(0)).alias("cost")
+    return frontier(t.events.select("event_id", cost, value), "cost", "value", 8)
+
+
 @query("select n_name, s.c_custkey, s.c_acctbal from nation, lateral (select c_custkey, c_acctbal from customer where c_nationkey = n_nationkey order by c_acctbal desc, c_custkey limit 2) s")
 def join_lateral_top(t):
     best = t.customer.filter(F.col("c_nationkey") == F.col("n_nationkey").outer()).orderBy(F.col("c_acctbal").desc(), "c_custkey").limit(2).select("c_custkey", "c_acctbal")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, kind: str) -> str:
@@ -16,3 +16,21 @@ def folder(spark: SparkSession, kind: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
     return f"{base.rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, kind: str) -> DataFrame:
+    """df written to the shared folder and read again: lineage ends there, and what was counted once stays as it was."""
+    path = folder(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like names that df does not have, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
