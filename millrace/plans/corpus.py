@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import above_chance, clr, cosine, entropy, replace_zeros, share
-from ..operators import frequent, fuzzy_matches, nearest, sampling
+from ..operators import frequent, fuzzy_matches, inverted, nearest, sampling
 from .registry import registrar
 
 QUERIES: dict = {}
@@ -189,12 +189,21 @@ def vector_cosine_topk(t):
     return t.embeddings.withColumn("q", one).select("vec_id", "label", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("sim")).orderBy(F.col("sim").desc(), "vec_id").limit(20)
 
 
-@query("with e as (select * from embeddings where vec_id is not null and list_inner_product(embedding::double[], embedding::double[]) > 0), s as (select q.vec_id as query_id, e.vec_id, e.label, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as sim from e as q join e on q.vec_id % 20 = 0) select query_id, row_number() over (partition by query_id order by sim desc, vec_id) as rank, vec_id, label, sim from s qualify rank <= 20")
+_NEAREST = "with e as (select * from embeddings where vec_id is not null and list_inner_product(embedding::double[], embedding::double[]) > 0), s as (select q.vec_id as query_id, e.vec_id, e.label, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as sim from e as q join e on q.vec_id % 20 = 0) select query_id, row_number() over (partition by query_id order by sim desc, vec_id) as rank, vec_id, label, sim from s qualify rank <= 20"
+
+
+@query(_NEAREST)
 def vector_cosine_search(t):
     """The 20 nearest rows of every query; the queries are all rows whose id is divisible by 20."""
     return nearest(t.embeddings.filter("vec_id % 20 = 0"), t.embeddings, "vec_id", "embedding", 20, "label")
 
 
+@query(_NEAREST)
+def vector_list_search(t):
+    """The same by an inverted file: lists near a query first, then those that by their radius could still hold a nearer row."""
+    return inverted.search(t.embeddings.filter("vec_id % 20 = 0"), t.embeddings, "vec_id", "embedding", 20, "label", exact=True)
+
+
 @query("select event_type, json_extract_string(props, '$.k') as k, count(*) as n, round(sum(value), 4) as total from events group by all")
 def json_props(t):
     return t.events.groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
