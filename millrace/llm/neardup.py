@@ -357,8 +357,11 @@ def near_duplicates(docs: DataFrame, row: str, percent: int = 75, margin: float
 
     A pair with a similarity of 0.75 meets in a region of one of the 32 trees at least but for 5 cases
     in a million. Pairs whose signatures agree in fewer than percent / 100 - margin of 128
-    values are not verified: four standard deviations below the threshold, 15 cases in a million.
+    values are not verified: four standard deviations below the threshold, 15 cases in a million. The trees are
+    made for these similarities: a percent below 75 would lose links and is refused. Long texts are compared whole.
     """
+    if not 75 <= percent <= 100:
+        raise ValueError("percent must be from 75 to 100")
     with shuffles_freed(docs.sparkSession):
         return _near_duplicates(docs, row, percent, margin)
 

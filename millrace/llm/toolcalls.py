@@ -13,6 +13,7 @@ import json
 import math
 import re
 from decimal import Decimal
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -51,13 +52,18 @@ def canonical(value) -> str:
 
 
 def _parsed(text: str):
-    """The value of a JSON text, all numbers as doubles; ValueError for what RFC 8785 has no form for: numbers beyond them and lone surrogates."""
+    """The value of a JSON text, all numbers as doubles; ValueError for what RFC 8785 has no form for: numbers beyond them, lone surrogates and repeated keys."""
     def finite(x: str) -> float:
         if not math.isfinite(v := float(x)):
             raise ValueError(x)
         return v
 
-    value = json.loads(text, parse_int=finite, parse_float=finite, parse_constant=finite)
+    def once(pairs: list[tuple]) -> dict:
+        if len(out := dict(pairs)) < len(pairs):
+            raise ValueError("a key comes twice")
+        return out
+
+    value = json.loads(text, parse_int=finite, parse_float=finite, parse_constant=finite, object_pairs_hook=once)
     canonical(value).encode()
     return value
 
@@ -68,35 +74,149 @@ def _is(value, kind: str) -> bool:
     return isinstance(value, plain[kind]) if kind in plain else number and (kind == "number" or float(value).is_integer())
 
 
-def schema_errors(value, schema: dict, at: str = "$") -> list[str]:
-    """What is wrong with a value, as "path: keyword", in the order of paths. Values are equal as JSON is: true is not 1, 1.0 is."""
+# The keywords of JSON Schema that say nothing about what is valid, that hold one schema, a list of them, and a map of them.
+ANNOTATIONS = {"title", "description", "default", "examples", "format", "deprecated", "readOnly", "writeOnly", "$schema", "$id", "$comment"}
+HOLD_ONE = {"items", "contains", "additionalProperties", "propertyNames", "not", "if", "then", "else"}
+HOLD_LIST = {"prefixItems", "allOf", "anyOf", "oneOf"}
+HOLD_MAP = {"properties", "patternProperties", "$defs", "definitions"}
+PLAIN = {
+    "type", "enum", "const", "minLength", "maxLength", "pattern", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minItems", "maxItems",
+    "uniqueItems", "minContains", "maxContains", "required", "minProperties", "maxProperties", "dependentRequired", "$ref",
+}
+IN_PLACE = ("allOf", "anyOf", "oneOf", "not", "if", "then", "else")
+
+
+def _target(ref: str, root):
+    """The schema that a reference within the document names."""
+    at = root
+    if not ref.startswith("#"):
+        raise ValueError(f"a reference beyond the schema: {ref}")
+    for part in ref[1:].split("/")[1:]:
+        part = part.replace("~1", "/").replace("~0", "~")
+        if isinstance(at, dict) and part in at:
+            at = at[part]
+        elif isinstance(at, list) and part.isdigit() and int(part) < len(at):
+            at = at[int(part)]
+        else:
+            raise ValueError(f"a reference to nothing: {ref}")
+    return at
+
+
+def check_schema(schema, root=None, above: tuple = ()) -> None:
+    """ValueError for a schema with a keyword that schema_errors does not know, or with references to nothing or round in a circle."""
+    root = schema if root is None else root
+    if isinstance(schema, bool):
+        return
+    if unknown := sorted(schema.keys() - ANNOTATIONS - HOLD_ONE - HOLD_LIST - HOLD_MAP - PLAIN):
+        raise ValueError(f"unknown schema keywords: {', '.join(unknown)}")
+    if "$ref" in schema:
+        if id(schema) in above:
+            raise ValueError(f"references go round in a circle: {schema['$ref']}")
+        target = _target(schema["$ref"], root)
+        if not isinstance(target, (dict, bool)):
+            raise ValueError(f"a reference to no schema: {schema['$ref']}")
+        _in_place(target, root, (id(schema),))
+    for k, v in schema.items():
+        for inner in [v] if k in HOLD_ONE else v if k in HOLD_LIST else v.values() if k in HOLD_MAP else []:
+            check_schema(inner, root)
+
+
+def _in_place(schema, root, above: tuple) -> None:
+    """Follows references and the keywords that apply to the same value."""
+    if isinstance(schema, bool):
+        return
+    if id(schema) in above:
+        raise ValueError("references go round in a circle")
+    above = (*above, id(schema))
+    if "$ref" in schema:
+        _in_place(_target(schema["$ref"], root), root, above)
+    for k in IN_PLACE:
+        for inner in schema.get(k, []) if k in HOLD_LIST else [schema[k]] if k in schema else []:
+            _in_place(inner, root, above)
+
+
+def schema_errors(value, schema, at: str = "$", root=None) -> list[str]:
+    """What is wrong with a value, as "path: keyword", in the order of paths. Values are equal as JSON is: true is not 1, 1.0 is.
+
+    Of the keywords that combine schemas, allOf and $ref pass on what is wrong inside; anyOf, oneOf, not, contains and propertyNames
+    name themselves. format is a note and tests nothing.
+    """
+    root = schema if root is None else root
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: false"]
     kinds = schema.get("type")
     if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return [f"{at}: type"]
     out = [f"{at}: enum"] if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]) else []
+    out += [f"{at}: const"] if "const" in schema and canonical(value) != canonical(schema["const"]) else []
+
+    def wrong(broken: bool, keyword: str, place: str = at) -> None:
+        if broken:
+            out.append(f"{place}: {keyword}")
+
+    def inside(v, inner, place: str) -> list[str]:
+        return schema_errors(v, inner, place, root)
+
+    def fits(v, inner) -> bool:
+        return not inside(v, inner, at)
+
     if isinstance(value, str):
-        out += [f"{at}: minLength"] if len(value) < schema.get("minLength", 0) else []
-        out += [f"{at}: maxLength"] if len(value) > schema.get("maxLength", len(value)) else []
-        out += [f"{at}: pattern"] if "pattern" in schema and not re.search(schema["pattern"], value) else []
+        wrong(len(value) < schema.get("minLength", 0), "minLength")
+        wrong(len(value) > schema.get("maxLength", len(value)), "maxLength")
+        wrong("pattern" in schema and not re.search(schema["pattern"], value), "pattern")
     elif _is(value, "number"):
-        out += [f"{at}: minimum"] if value < schema.get("minimum", value) else []
-        out += [f"{at}: maximum"] if value > schema.get("maximum", value) else []
+        wrong(value < schema.get("minimum", value), "minimum")
+        wrong(value > schema.get("maximum", value), "maximum")
+        wrong("exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"], "exclusiveMinimum")
+        wrong("exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"], "exclusiveMaximum")
+        wrong("multipleOf" in schema and Fraction(repr(value)) % Fraction(repr(schema["multipleOf"])) != 0, "multipleOf")
     elif isinstance(value, list):
+        first = schema.get("prefixItems", [])
         for i, v in enumerate(value):
-            out += schema_errors(v, schema.get("items", {}), f"{at}[{i}]")
+            out += inside(v, first[i] if i < len(first) else schema.get("items", {}), f"{at}[{i}]")
+        wrong(len(value) < schema.get("minItems", 0), "minItems")
+        wrong(len(value) > schema.get("maxItems", len(value)), "maxItems")
+        wrong(schema.get("uniqueItems") is True and len({canonical(v) for v in value}) < len(value), "uniqueItems")
+        if "contains" in schema:
+            n = sum(fits(v, schema["contains"]) for v in value)
+            wrong(n < schema.get("minContains", 1), "contains")
+            wrong(n > schema.get("maxContains", n), "maxContains")
     elif isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, by_pattern = schema.get("properties", {}), schema.get("patternProperties", {})
         out += [f"{at}.{k}: required" for k in sorted(schema.get("required", [])) if k not in value]
         for k in sorted(value):
-            if k in known:
-                out += schema_errors(value[k], known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
+            met = [known[k]] if k in known else []
+            met += [inner for p, inner in by_pattern.items() if re.search(p, k)]
+            for inner in met:
+                out += inside(value[k], inner, f"{at}.{k}")
+            if not met and schema.get("additionalProperties") is False:
                 out.append(f"{at}.{k}: additionalProperties")
+            elif not met and "additionalProperties" in schema:
+                out += inside(value[k], schema["additionalProperties"], f"{at}.{k}")
+            wrong("propertyNames" in schema and not fits(k, schema["propertyNames"]), "propertyNames", f"{at}.{k}")
+            for needed in sorted(schema.get("dependentRequired", {}).get(k, [])):
+                wrong(needed not in value, "dependentRequired", f"{at}.{needed}")
+        wrong(len(value) < schema.get("minProperties", 0), "minProperties")
+        wrong(len(value) > schema.get("maxProperties", len(value)), "maxProperties")
+    if "$ref" in schema:
+        out += inside(value, _target(schema["$ref"], root), at)
+    for inner in schema.get("allOf", []):
+        out += inside(value, inner, at)
+    wrong("anyOf" in schema and not any(fits(value, s) for s in schema["anyOf"]), "anyOf")
+    wrong("oneOf" in schema and sum(fits(value, s) for s in schema["oneOf"]) != 1, "oneOf")
+    wrong("not" in schema and fits(value, schema["not"]), "not")
+    if "if" in schema:
+        out += inside(value, schema.get("then" if fits(value, schema["if"]) else "else", True), at)
     return out
 
 
 def checked_arguments(tool: Column, arguments: Column, schemas: dict[str, dict]) -> Column:
-    """A struct of errors (joined by "; ", empty if none) and arguments as canonical JSON (null if they have none)."""
+    """A struct of errors (joined by "; ", empty if none) and arguments as canonical JSON (null if they have none).
+
+    ValueError for schemas with keywords that are not known, before any row is read.
+    """
+    for schema in schemas.values():
+        check_schema(schema)
 
     @F.pandas_udf("errors string, arguments string")
     def of(tools: pd.Series, texts: pd.Series) -> pd.DataFrame:

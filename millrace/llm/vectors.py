@@ -20,6 +20,8 @@ from .components import components, with_root
 
 PREFIX, SHARED, BLOCK, REFINE = 10, 2, 1024, 8192
 LEAST_PIVOTS, MOST_PIVOTS = 16, 16_384
+#: Numbers in the pivots of all vector sizes together, which go to every task: 64 MB.
+MOST_NUMBERS = 8_000_000
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -37,15 +39,22 @@ def nearest(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, 1), axis=1, kind="stable"), 1)
 
 
-def _wanted(n: int) -> int:
-    """The number of pivots for n vectors: lists then grow with the square root of n, up to MOST_PIVOTS."""
-    return int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 4 * n**0.5)))
+def _wanted(sizes: dict[int, int]) -> dict[int, int]:
+    """The number of pivots for each vector size, from the number of its vectors: lists grow with their square root, up to MOST_PIVOTS and MOST_NUMBERS.
+
+    ValueError if so many sizes, or so long ones, leave less than LEAST_PIVOTS for one.
+    """
+    room = {d: MOST_NUMBERS // (len(sizes) * d) for d in sizes}
+    if any(r < LEAST_PIVOTS for r in room.values()):
+        raise ValueError(f"{len(sizes)} vector sizes of up to {max(sizes)} numbers leave no room for {LEAST_PIVOTS} pivots each")
+    return {d: int(min(MOST_PIVOTS, room[d], max(LEAST_PIVOTS, 4 * n**0.5))) for d, n in sizes.items()}
 
 
 def _fitted(reps: DataFrame, prefix: int) -> dict[int, np.ndarray]:
     """Pivots by vector size, rarest first. A sample of each size, the first by a hash; how rare a pivot is, the sample tells too."""
-    sizes = {r.dims: r["count"] for r in reps.groupBy("dims").count().collect()}
-    ask = reps.sparkSession.createDataFrame([(d, _wanted(n), int(min(1.0, 4 * _wanted(n) / n) * (1 << 60))) for d, n in sizes.items()], "of long, wanted long, below long")
+    sizes = {r.dims: r["count"] for r in reps.groupBy("dims").count().limit(MOST_NUMBERS // LEAST_PIVOTS).collect()}
+    wanted = _wanted(sizes)
+    ask = reps.sparkSession.createDataFrame([(d, wanted[d], int(min(1.0, 4 * wanted[d] / n) * (1 << 60))) for d, n in sizes.items()], "of long, wanted long, below long")
     some = reps.select("node", "dims", "vector", key60(F.col("node")).alias("k")).join(F.broadcast(ask), F.col("dims") == F.col("of")).filter("k <= below")
     order = F.row_number().over(Window.partitionBy("dims").orderBy("k", "node"))  # over some four times the pivots
     sample = some.withColumn("rank", order).filter("rank <= wanted").select("dims", "vector").collect()
@@ -161,8 +170,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, prefix: int = PREF
     for itself. component_id is the least vec_id that links reach; a null vec_id is greater than all
     others. Other columns are not used. An empty table gives an empty result.
 
-    For each vector size the pivots are a sample, four times the square root of the number of vectors and at
-    most MOST_PIVOTS; every vector is indexed. A pair is found if it shares `shared` (2 or more, so that long
+    For each vector size the pivots are a sample, four times the square root of the number of vectors, at
+    most MOST_PIVOTS and with those of other sizes MOST_NUMBERS numbers (ValueError where that leaves no room); every vector is indexed. A pair is found if it shares `shared` (2 or more, so that long
     lists can be refined) of its `prefix` nearest pivots. Pairs of random directions at a cosine of 0.931
     are found in 999 of 1000 cases with 4,000 pivots and in 984 to 996 with 16,000.
     """
