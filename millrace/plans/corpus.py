@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import above_chance, clr, cosine, entropy, replace_zeros, share
+from ..functions import tables
 from ..operators import frequent, fuzzy_matches, inverted, nearest, sampling
+from ..operators.matching import matched_once
 from .registry import registrar
 
 QUERIES: dict = {}
@@ -278,3 +280,18 @@ def heavy_words(t):
 def stratified_documents(t):
     """Twelve documents of each source, drawn by their characters: the sample is what the query is for."""
     return sampling.stratified(t.documents.select("doc_id", "source", "n_chars"), "source", "doc_id", 12, "n_chars").select("doc_id", "source")
+
+
+@query(f"{_NAMES}, p as (select n, m, levenshtein({_PLAIN.format('n')}, {_PLAIN.format('m')}) as edits from a, b where levenshtein({_PLAIN.format('n')}, {_PLAIN.format('m')}) <= 2), s as (select list({{'n': [n], 'm': [m], 'e': [edits]}} order by edits, n, m) as x from p), r as (select list_reduce(x, lambda u, v: case when list_has_any(u.n, v.n) or list_has_any(u.m, v.m) then u else {{'n': list_concat(u.n, v.n), 'm': list_concat(u.m, v.m), 'e': list_concat(u.e, v.e)}} end) as t from s) select unnest(t.n) as n, unnest(t.m) as m, unnest(t.e) as edits from r")
+def matched_names(t):
+    """Names matched one to one with names that have lost a letter, the fewest edits first."""
+    return matched_once(t.part.select(F.col("p_name").alias("n")), t.part.select(F.substr("p_name", F.lit(2)).alias("m")), "n", "m", 2)
+
+
+@query("with x as (select doc_id, unnest(regexp_extract_all(text, '([A-Za-z0-9.]+)@([a-z0-9]+)[.]example', 1)) as name, unnest(regexp_extract_all(text, '([A-Za-z0-9.]+)@([a-z0-9]+)[.]example', 2)) as host from documents) select host, count(*) as n, count(distinct doc_id) as docs, min(name) as least from x group by host")
+def lateral_matches(t):
+    """A table function whose columns come from the named groups of its pattern, joined laterally to whole texts."""
+    tables.register(t.spark)
+    pattern = r"(?P<name>[A-Za-z0-9.]+)@(?P<host>[a-z0-9]+)[.]example"
+    found = t.spark.sql("select doc_id, m.name, m.host from {docs} d, lateral named_matches(d.text, {pattern}) m", docs=t.documents.select("doc_id", "text"), pattern=pattern)
+    return found.groupBy("host").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"), F.min("name").alias("least"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import sources
 from ..operators.scores import PARTS, SCORES, card_scores, row_mean
 from ..scratch import folder
+from ..sources.variants import leaves
 from ..sources.xz import XzLines
 from .registry import registrar
 
@@ -109,3 +110,45 @@ def catalog_states(t):
     gone = t.spark.range(1).select(F.lit("A").alias("problem"), F.lit("run=7/part.json").alias("file"), F.lit(1).cast("long").alias("bytes"))
     states = sources.missing_files(listed.unionByName(gone), out).select(F.regexp_extract("file", "run=([0-9]+)", 1).cast("int").alias("r"), "state").distinct()
     return counts.join(states, F.col("run") == F.col("r")).select("run", "rows", "state")
+
+
+@query("with s as (select source, sum(n_chars)::bigint as bytes from documents group by source) select bytes % 3 = 0 as noted, count(*) as files, sum(bytes)::bigint as bytes, count(*) filter (where bytes % 3 = 0) as notes from s group by all")
+def catalog_document(t):
+    """A catalog as one JSON document, in which some entries lack a note, written and read."""
+    out = folder(t.spark, "catalog")
+    by = t.documents.groupBy("source").agg(F.sum("n_chars").alias("bytes"))
+    entry = F.struct(F.lit("A").alias("problem"), F.concat("source", F.lit(".jsonl.xz")).alias("file"), "bytes", F.when(F.col("bytes") % 3 == 0, F.concat(F.lit("a \n note on "), "source")).alias("note"))
+    by.agg(F.to_json(F.collect_list(entry)).alias("value")).coalesce(1).write.text(out)  # an entry for each source
+    rows = sources.read_catalog(t.spark, out)
+    return rows.groupBy((F.col("bytes") % 3 == 0).alias("noted")).agg(F.count("file").alias("files"), F.sum("bytes").alias("bytes"), F.count("note").alias("notes"))
+
+
+@query("select source, case when n % 2 = 0 then 'pointer' else 'data' end as state from (select source, count(*) as n, sum(n_chars) as c from documents group by source) s where true")
+def storage_pointers(t):
+    """Files of which some are pointers to large-file storage: told apart by length first, then by their first line."""
+    out = folder(t.spark, "pointers")
+    by = t.documents.groupBy("source").agg(F.count("*").alias("n"))
+    text = F.when(F.col("n") % 2 == 0, F.lit(f"{sources.POINTER}\noid sha256:0\nsize 1")).otherwise(F.lit("{}"))
+    by.select("source", text.alias("value")).repartition("source").write.partitionBy("source").text(out)
+    return sources.pointer_states(t.spark, out).select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "state")
+
+
+_LEAVES = """with s as (select source, sum(n_chars)::bigint as c from documents group by source),
+l as (
+  select '$.results.task_' || i || case when c % 2 = 1 then '[''acc,none'']' else '.acc' end as path, 'number' as kind, (c * i % 1000)::varchar as value from s, range(1, 6) r(i)
+  union all select '$.results.task_' || i || '.alias', case when c % 2 = 0 then 'string' else 'null' end, case when c % 2 = 0 then 'task ' || i end from s, range(1, 6) r(i)
+  union all select '$.config.shots[' || i || ']', 'number', i::varchar from s, range(0, 3) r(i) where c % 2 = 1
+  union all select '$.config.shots', 'array', null from s where c % 2 = 0
+  union all select '$.config.model.name', 'string', source from s)"""
+
+
+@query(f"{_LEAVES} select path, kind, count(*) as cards, count(distinct value) as differ, min(value) as least from l group by path, kind")
+def variant_leaves(t):
+    """Cards of two generations, nested to several depths, as variants: a row for each leaf, then counts by path."""
+    by = t.documents.groupBy("source").agg(F.sum("n_chars").alias("c"))
+    odd = F.col("c") % 2 == 1
+    rates = {i: (F.col("c") * i % 1000).cast("string") for i in range(1, 6)}
+    tasks = [F.concat(F.lit(f'"task_{i}":{{"'), F.when(odd, "acc,none").otherwise("acc"), F.lit('":'), rates[i], F.lit(',"alias":'), F.when(odd, "null").otherwise(f'"task {i}"'), F.lit("}")) for i in rates]
+    card = F.concat(F.lit('{"results":{'), F.concat_ws(",", *tasks), F.lit('},"config":{"shots":'), F.when(odd, "[0,1,2]").otherwise("[]"), F.lit(',"model":'), F.to_json(F.struct(F.col("source").alias("name"))), F.lit("}}"))
+    found = leaves(by.select(card.alias("card")), "card")
+    return found.groupBy("path", "kind").agg(F.count("*").alias("cards"), F.count_distinct("value").alias("differ"), F.min("value").alias("least"))

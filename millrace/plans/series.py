@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..functions import experiment_name, experiment_parts, flops_ratio, power_law_loss, run_time
 from ..operators import asof_join, interpolated, least_squares, nearest_join, power_law, ranked, running_max, sessions, tile, z_scores
+from ..operators import fits
 from ..streaming import stateful
 from .registry import registrar
 
@@ -235,3 +236,22 @@ def stream_late_rows(t):
     with stateful.rocks_state(t.spark):
         _, progress = stateful.in_runs([rows.filter(half), rows.filter(~half), rows], lambda e: stateful.expiring_sessions(e, "user_id", 1800))
     return progress.select("run", "input_rows", "late_rows")
+
+
+_LAW = fits.Law(1.5, 0.5, 0.4, 1.0, 0.2)
+_ROWS = "with d as (select p_size::double as n, p_retailprice / 100 as d, 1.69 + 0.4 * p_size ** -0.34 + 1.2 * (p_retailprice / 100) ** -0.28 + (p_partkey % 11 - 5) / 1000 as loss from part where p_size > 0 and p_retailprice > 0), s as (select [1.0::double, n ** -0.4, -0.5 * n ** -0.4 * ln(n), d ** -0.2, -1.0 * d ** -0.2 * ln(d)] as s, loss - (1.5 + 0.5 * n ** -0.4 + 1.0 * d ** -0.2) as r from d), w as (select *, case when abs(r) > 0.2 then 0.2 / abs(r) else 1.0 end as w from s)"
+
+
+def _noisy(t):
+    n, d = F.col("p_size").cast("double"), F.col("p_retailprice") / 100
+    loss = 1.69 + 0.4 * F.pow(n, F.lit(-0.34)) + 1.2 * F.pow(d, F.lit(-0.28)) + (F.col("p_partkey") % 11 - 5) / 1000
+    return t.part.filter("p_size > 0 and p_retailprice > 0").select(n.alias("n"), d.alias("d"), loss.alias("loss"))
+
+
+@query(f"{_ROWS} select ['e', 'a', 'alpha', 'b', 'beta'][i] as term, round(sum(w * s[i] * r), 3) as slope_residual, " + ", ".join(f"round(sum(w * s[i] * s[{j}]), 3) as with_{t}" for j, t in enumerate(fits.TERMS, 1)) + " from w, range(1, 6) x(i) group by i")
+def powerlaw_step(t):
+    """The sums of one robust step of the fit: a row for each parameter."""
+    sums = fits.step_sums(_noisy(t), "n", "d", "loss", _LAW, 0.2)
+    pairs = {(a, b): f"{a}_{b}" if i <= j else f"{b}_{a}" for i, a in enumerate(fits.TERMS) for j, b in enumerate(fits.TERMS)}
+    rows = [F.struct(F.lit(a).alias("term"), F.round(f"r_{a}", 3).alias("slope_residual"), *[F.round(pairs[a, b], 3).alias(f"with_{b}") for b in fits.TERMS]) for a in fits.TERMS]
+    return sums.select(F.inline(F.array(*rows)))

@@ -18,6 +18,13 @@ class PointerError(ValueError):
     """A data file is a pointer to large-file storage and holds no data."""
 
 
+def pointer_states(spark: SparkSession, path: str, most: int = 1024) -> DataFrame:
+    """path and state (pointer or data) of each file at path; only files of up to most bytes are read, as pointers are."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    small = files.filter(F.col("length") <= most).select("path", F.when(F.col("content").cast("string").startswith(POINTER + "\n"), "pointer").otherwise("data").alias("state"))
+    return small.union(files.filter(F.col("length") > most).select("path", F.lit("data")))
+
+
 def refuse_pointers(spark: SparkSession, path: str, most: int = 1024) -> None:
     """Raises PointerError if a file at path begins as a storage pointer; only files of up to most bytes are read, as pointers are."""
     small = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(F.col("length") <= most)
