@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import above_chance, clr, cosine, entropy, replace_zeros, share
-from ..functions import tables
+from ..functions import html, tables
 from ..operators import frequent, fuzzy_matches, inverted, nearest, sampling
 from ..operators.matching import matched_once
 from .registry import registrar
@@ -180,6 +180,14 @@ def html_text(t):
     return t.pages.select("page_id", F.length(x).cast("long").alias("n"), F.md5(x).alias("digest"))
 
 
+@query()
+def html_blocks(t):
+    """Pages cut into blocks by their tags, and the text that is left without boilerplate."""
+    found = t.pages.select("page_id", html.blocks(F.col("html")).alias("b"))
+    kept = F.size(F.filter(html.is_content(F.col("b")), lambda x: x)).cast("long")
+    return found.select("page_id", F.size("b").cast("long").alias("blocks"), kept.alias("kept"), F.length(html.content(F.col("b"))).cast("long").alias("chars"), F.md5(html.content(F.col("b"))).alias("digest"))
+
+
 @query("select conv_id, count(*) as turns, count(*) filter (where role = 'user') as user_turns, sum(length(text))::bigint as chars, arg_min(role, turn) as first_role from conversations group by conv_id")
 def conversation_turns(t):
     return t.conversations.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("user_turns"), F.sum(F.length("text")).alias("chars"), F.min_by("role", "turn").alias("first_role"))
