@@ -9,7 +9,7 @@ from test_documents import ODD, crc, quality_brute, secret_brute, shingles
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from millrace.llm import mixing, quality
+from millrace.llm import common, mixing, quality
 
 NAMES = "doc_id long, text string, source string, lang string, n_chars long"
 #: Columns that clash with those the stages make on the way.
@@ -189,12 +189,8 @@ def test_run_on_an_empty_table(spark, odd_docs, tmp_path):
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
 
 
-def test_run_leaves_no_stage_behind(spark, sf_dir, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        corpus_pipeline.run(spark, sf_dir).count()
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+def test_run_leaves_no_stage_behind(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert corpus_pipeline.run(spark, sf_dir).count()
     left = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "millrace").iterdir()}
     assert left & {"quality_rules", "minhash_neardup", "secret_scan", "host-failures", "scanned", "spans"} == set() and "mixing_weights" in left
