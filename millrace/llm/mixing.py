@@ -113,7 +113,7 @@ def mix(docs: DataFrame, weight_of=None, share: float = 1.5, most: float = 2.0)
 
     Whole documents are taken: floor(target / source size) times each, once more below the
     threshold; the document at the threshold is in or out, whichever is nearer. Reruns agree.
-    Null text has size 0. A null source is a source of its own, the last. Rows alike in id and
+    Texts of any length are counted whole and taken whole. Null text has size 0. A null source is a source of its own, the last. Rows alike in id and
     text have the same hash and are in or out together. An empty table gives an empty result.
     Columns other than doc_id, text and source are not used. The sources (one row each) must fit
     the driver; the table of their plans is broadcast up to BROADCAST_SOURCES rows.
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, weight_of=None, share: float = 1.5, most: float = 2.0)
 def mixed_documents(docs: DataFrame, weight_of=None, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """docs as the mix takes them: a document taken twice is there twice, one not taken is gone. The columns stay as they are.
 
-    Null texts and sources, ties, repeated rows, empty tables and clashing names are as for mix: a null text has size 0 and
+    Null texts and sources, very long texts, ties, repeated rows, empty tables and clashing names are as for mix: a null text has size 0 and
     is taken by its hash like any other.
     """
     h, z, n, of = (fresh(docs, c) for c in ("mix_hash", "mix_size", "mix_copies", "mix_source"))

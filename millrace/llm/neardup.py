@@ -447,7 +447,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75, files: bool = True)
     """docs with the first document of each component, all columns as they are; files as for with_rows.
 
     Documents without a word or with null text all stay, and so does the first of rows alike in all
-    columns. An empty table gives an empty result; columns of any name are carried along.
+    columns; long texts are compared whole. An empty table gives an empty result; columns of any name are carried along.
     """
     stored, row = with_rows(docs, files=files)
     of = fresh(docs, "first_row")

@@ -87,7 +87,7 @@ def _first_fit(capacity: int):
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, keep_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if keep_ids).
 
-    Each document's ids and end_id are cut into pieces; a null or empty text is the end id alone.
+    Each document's ids and end_id are cut into pieces, the longest text into the most; a null or empty text is the end id alone.
     Every sequence but those of left-over pieces is a full bin of one class. Sequence ids run from 0.
     Rows alike are packed each for itself; a null doc_id stays null; other columns are not used.
     An empty table gives an empty result.

@@ -128,7 +128,7 @@ def judge(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataF
     """docs (all columns) with struct columns quality (measures), rules (failures) and base_failed, host_failed, kept.
 
     Where docs has a column of such a name, the new one ends in an underscore. Null or empty
-    texts have no words and fail as short. A null host has no verdict: its documents are judged
+    texts have no words and fail as short, long ones are measured whole. A null host has no verdict: its documents are judged
     alone. Rows alike are judged each for itself. An empty table gives an empty result. Texts
     are measured in two passes, one for the hosts and one for the result, so none is stored.
     """
@@ -146,7 +146,7 @@ def judge(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataF
 def judge_slim(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
     """doc_id, the five measures, base_failed, host_failed and kept of each document, without carrying its text on.
 
-    Null and empty texts, null hosts, repeated rows, empty tables and columns of any name are as for judge.
+    Null, empty and very long texts, null hosts, repeated rows, empty tables and columns of any name are as for judge.
     """
     m = docs.select(F.col("doc_id"), F.col(host).alias("source"), "text")
     slim = staged(m.select("doc_id", "source", measures(F.col("text")).alias("quality")), "measured")

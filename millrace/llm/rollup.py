@@ -28,11 +28,12 @@ def inserted(rows: DataFrame) -> DataFrame:
 
 
 def deleted(rows: DataFrame) -> DataFrame:
+    """rows: source, lang, tokenizer, tokens; each a document's count that goes. Null keys are keys like others, a null count adds nothing, rows alike go each for itself."""
     return rows.select(*KEYS, F.lit(-1).cast("long").alias("docs"), (-F.col("tokens")).alias("tokens"))
 
 
 def revised(rows: DataFrame) -> DataFrame:
-    """rows: source, lang, tokenizer, old_tokens, tokens; the documents stay, their counts change."""
+    """rows: source, lang, tokenizer, old_tokens, tokens; the documents stay, their counts change. A null old or new count changes nothing; null keys and rows alike are as for deleted."""
     return rows.select(*KEYS, F.lit(0).cast("long").alias("docs"), (F.col("tokens") - F.col("old_tokens")).alias("tokens"))
 
 
@@ -82,7 +83,7 @@ class TokenLedger:
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 or tokens <> 0")
 
     def compact(self, into: str) -> TokenLedger:
-        """A new ledger whose only batch is the totals of this one."""
+        """A new ledger whose only batch is the totals of this one; of an empty ledger, a batch without rows. This one stays as it is, and who uses it goes over to the new path."""
         fresh = TokenLedger(self.spark)
         fresh.commit(into, self.totals())
         return fresh

@@ -43,7 +43,7 @@ def shard_of(key: Column, shards: int) -> Column:
 def assign(docs: DataFrame, shards: int = 16, parts: int | None = None) -> DataFrame:
     """A row for each document: doc_id, size, text_crc32, shard, slot, grown_shard.
 
-    size is the UTF-8 bytes of the text (null: none) and 1; text_crc32 is that of the text
+    size is the UTF-8 bytes of the whole text (null: none), however long, and 1; text_crc32 is that of the text
     (null: of nothing); grown_shard is the shard with one shard more. Slots run from 0 in each
     shard in the order of doc_id (null first), text_crc32 and size; rows alike in all three
     take neighbouring slots. Rows with the same id share a shard. Other columns are not used.

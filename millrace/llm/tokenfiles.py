@@ -49,7 +49,7 @@ class FlatFile:
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, files: int | None = None) -> DataFrame:
     """Writes the files and returns their manifest: part, name, n_docs, n_ids, width, base.
 
-    Null text counts as empty; each document ends with end_id. A null doc_id comes first. Rows
+    Null text counts as empty, long texts are encoded whole; each document ends with end_id. A null doc_id comes first. Rows
     with the same doc_id come in the order of their texts' CRC-32; one id may spread over files.
     A file's name has the attempt that wrote it, and the manifest names the file of the attempt
     that counts, so a task that runs again does no harm. An empty table gives no files.
