@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import fresh
+from .inverted import sound
 from .ordered import asof_join, interpolated, nearest_join, ranked, running_max, sessions  # noqa: F401
 
 
@@ -188,12 +189,13 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, name: str, other: str, most
 def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, *keep: str, block: int = 8192) -> DataFrame:
     """For every query the k rows of greatest cosine, exactly: query_id, rank (from 1), key, keep and sim (rounded to 6 places).
 
-    key is distinct and vectors are of one length; null and zero vectors have no direction and are left
-    out. Equal sims rank by key. Queries and rows are cut into blocks, each pair of blocks gives
+    key is distinct. Vectors that are null or zero, have null or non-finite components, or another length than most rows have, are left
+    out on both sides. Equal sims rank by key. Queries and rows are cut into blocks, each pair of blocks gives
     its k best rows by query, and these are merged by query: no task holds more than two blocks.
     """
-    dot = F.aggregate(F.transform(vector, lambda v: v.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    rows, queries = (df.filter(F.col(key).isNotNull() & (dot > 0)) for df in (rows, queries))
+    rows, queries = (df.filter(F.col(key).isNotNull() & sound(vector)) for df in (rows, queries))
+    length = rows.groupBy(F.size(vector).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.col("rows").desc(), "n").first()
+    rows, queries = (df.filter(F.size(vector) == (length.n if length else 0)) for df in (rows, queries))
     n_rows, n_queries = max(math.ceil(rows.count() / block), 32), max(math.ceil(queries.count() / block), 1)
 
     def cut(number: int) -> Column:

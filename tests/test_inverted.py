@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from millrace import operators
 from millrace.operators import inverted
 
 
@@ -60,3 +61,10 @@ def test_nothing_to_search(spark):
     assert inverted.search(df.limit(0), df, "id", "v", 3).count() == 0
     assert inverted.search(df, df.limit(0), "id", "v", 3).count() == 0
     assert inverted.search(df.limit(0), df, "id", "v", 3, exact=True).count() == 0
+
+
+def test_blocks_leave_out_what_has_no_direction(spark):
+    x = clustered(60, 4, 2)
+    df = frame(spark, x, [None, [], [0.0] * 4, [1.0] * 7, [float("nan")] * 4, [float("inf"), 1.0, 1.0, 1.0], [None, 1.0, 1.0, 1.0]])
+    got = operators.nearest(df, df, "id", "v", 5, block=16)
+    assert {(r.query_id, r["rank"], r.id, r.sim) for r in got.collect()} == truth(x, np.arange(60), 5)
