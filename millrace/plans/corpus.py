@@ -193,12 +193,6 @@ def conversation_turns(t):
     return t.conversations.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("user_turns"), F.sum(F.length("text")).alias("chars"), F.min_by("role", "turn").alias("first_role"))
 
 
-@query("select vec_id, label, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 6) as sim from embeddings order by sim desc, vec_id limit 20")
-def vector_cosine_topk(t):
-    one = t.embeddings.filter("vec_id = 0").select("embedding").scalar()
-    return t.embeddings.withColumn("q", one).select("vec_id", "label", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("sim")).orderBy(F.col("sim").desc(), "vec_id").limit(20)
-
-
 _NEAREST = "with e as (select * from embeddings where vec_id is not null and list_inner_product(embedding::double[], embedding::double[]) > 0), s as (select q.vec_id as query_id, e.vec_id, e.label, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as sim from e as q join e on q.vec_id % 20 = 0) select query_id, row_number() over (partition by query_id order by sim desc, vec_id) as rank, vec_id, label, sim from s qualify rank <= 20"
 
 
@@ -214,6 +208,14 @@ def vector_list_search(t):
     return inverted.search(t.embeddings.filter("vec_id % 20 = 0"), t.embeddings, "vec_id", "embedding", 20, "label", exact=True)
 
 
+@query(f"select query_id, vec_id, label, sim from ({_NEAREST})")
+def vector_cosine_topk(t):
+    """The nearest rows of every query without their ranks; the cosines are computed once more, by expression, for the pairs found alone."""
+    pairs = vector_list_search(t).select("query_id", "vec_id", "label")
+    asked = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return pairs.join(asked, "query_id").join(t.embeddings.select("vec_id", "embedding"), "vec_id").select("query_id", "vec_id", "label", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("sim"))
+
+
 @query("select event_type, json_extract_string(props, '$.k') as k, count(*) as n, round(sum(value), 4) as total from events group by all")
 def json_props(t):
     return t.events.groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
