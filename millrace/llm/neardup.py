@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import checked, drop, fresh, shuffles_freed, sorted_groups, staged
 from .components import extended, with_root
-from .tokens import slices
+from .tokens import sliced, slices
 
 WORDS = 5
 TREES, DEPTH = 32, 4
@@ -83,9 +83,8 @@ def signatures(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def _describe(batches):
     """Batches of row, text and doc_id to rows of DESCRIBED and doc_id."""
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for i, j in slices(texts):
-            shingles, counts = shingle_sets([t or "" for t in texts[i:j]])
+        for i, j, texts in sliced(batch.column(1)):
+            shingles, counts = shingle_sets([t or "" for t in texts])
             some = counts > 0
             starts = (np.cumsum(counts) - counts)[some]
             marks = np.zeros((2, j - i), np.int64)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
-from .tokens import encoder, slices
+from .tokens import CACHE, encoder, sliced
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, number long"
 
@@ -40,17 +40,20 @@ def cut(n: int, sizes: list[int]) -> list[int]:
     return out
 
 
-def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048, keep_ids: bool = False) -> DataFrame:
-    """The pieces of all documents, numbered by length within each partition; ids are kept as packed bytes if asked for."""
+def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048, keep_ids: bool = False, cache_entries: int = CACHE) -> DataFrame:
+    """The pieces of all documents, numbered by length within each partition; ids are kept as packed bytes if asked for.
+
+    A worker caches cache_entries encoded chunks; fewer than usual are also forgotten when a task ends.
+    """
 
     def pieces(batches):
-        enc, sizes, seen = encoder(tokenizer_path), piece_sizes(capacity), {}
+        enc, sizes, seen = encoder(tokenizer_path, cache_entries), piece_sizes(capacity), {}
         part, end = TaskContext.get().partitionId(), np.array([end_id], "<u4")
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in slices(texts):
+            doc_ids = batch.column(0).to_pylist()
+            for i, j, texts in sliced(batch.column(1)):
                 rows: list[tuple] = []
-                for doc_id, packed in zip(doc_ids[i:j], enc.encode([t or "" for t in texts[i:j]])):
+                for doc_id, packed in zip(doc_ids[i:j], enc.encode([t or "" for t in texts])):
                     ids = np.concatenate([np.frombuffer(packed, enc.dtype).astype("<u4"), end])
                     start = 0
                     for n in cut(len(ids), sizes):
@@ -64,6 +67,8 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: i
                 if keep_ids:
                     arrays.append(pa.array(columns[7], pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, [*names, "part", "number", *["ids"] * keep_ids])
+        if cache_entries < CACHE:
+            enc.chunks.clear()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, PIECE + ", ids binary" * keep_ids)
 
@@ -84,19 +89,19 @@ def _first_fit(capacity: int):
     return pack
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, keep_ids: bool = False, cache_entries: int = CACHE) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if keep_ids).
 
     Each document's ids and end_id are cut into pieces, the longest text into the most; a null or empty text is the end id alone.
     Every sequence but those of left-over pieces is a full bin of one class. Sequence ids run from 0.
     Rows alike are packed each for itself; a null doc_id stays null; other columns are not used.
-    An empty table gives an empty result.
+    An empty table gives an empty result. With fewer cache_entries, workers take less memory and more time.
 
     The left-over pieces are fewer than j for each class j, under 11,000 for a capacity of 2048
     whatever the input, so one task can take them.
     """
     spark = docs.sparkSession
-    pieces = staged(cut_documents(docs, tokenizer_path, end_id, capacity, keep_ids), "pieces")
+    pieces = staged(cut_documents(docs, tokenizer_path, end_id, capacity, keep_ids, cache_entries), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     order = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = staged(counts.select(F.col("length").alias("of"), F.col("part").alias("in"), F.col("n"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")), "piece-bases")

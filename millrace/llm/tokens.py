@@ -18,11 +18,14 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow.compute as pc
 
 #: White space as the tokenizers' patterns have it (Unicode White_Space).
 _WS = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _RUN = re.compile(_WS + "{2}")
 _RUNS = re.compile(f"({_WS}{{2,}})")
+#: Chunks that an encoder holds, unless stated: some 200 bytes each, about 250 MB.
+CACHE = 1_200_000
 #: Letters below this one have the same properties in every Unicode version.
 _OLD = "\u0250"
 
@@ -55,7 +58,7 @@ class ChunkEncoder:
     About cache_entries chunks are held; a full cache starts anew, which costs time and changes no result.
     """
 
-    def __init__(self, path: str, cache_entries: int = 1_200_000):
+    def __init__(self, path: str, cache_entries: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -142,14 +145,15 @@ class ChunkEncoder:
         return [self._whole(t) if (keys := self._keys(t)) is None else b"".join(map(get, keys)) for t in texts]
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, cache_entries: int = CACHE) -> ChunkEncoder:
     """The worker's encoder for a tokenizer file; it lives as long as the worker."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    key = path, cache_entries
+    if key not in _encoders:
+        _encoders[key] = ChunkEncoder(path, cache_entries)
+    return _encoders[key]
 
 
 def slices(texts: list, chars: int = 1_000_000):
@@ -162,3 +166,10 @@ def slices(texts: list, chars: int = 1_000_000):
         size += len(t or "") + 1
     if texts:
         yield begin, len(texts)
+
+
+def sliced(column, chars: int = 1_000_000):
+    """(from, to, texts) of the same ranges over an Arrow column of texts; only one range at a time becomes Python strings."""
+    sizes = [range(n or 0) for n in pc.utf8_length(column).to_pylist()]
+    for i, j in slices(sizes, chars):
+        yield i, j, column.slice(i, j - i).to_pylist()

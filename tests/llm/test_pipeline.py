@@ -2,14 +2,16 @@
 
 from collections import Counter, defaultdict
 
+import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_documents import ODD, crc, quality_brute, secret_brute, shingles
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from millrace.llm import common, mixing, quality
+from millrace.llm import common, mixing, quality, tokens
 
 NAMES = "doc_id long, text string, source string, lang string, n_chars long"
 #: Columns that clash with those the stages make on the way.
@@ -163,6 +165,28 @@ def test_packing_stage(spark, odd_docs):
     assert ends and all(r.start == 0 and r.length == 1 and r.ids_crc32 == crc([1]) for r in ends)
 
 
+def test_packing_stage_keeps_no_cache_in_workers(spark, odd_docs):
+    """The check was stopped on memory there: workers held a million encoded chunks each through the stages of the next run."""
+    assert corpus_pipeline.harmonic_packing(spark, odd_docs, "").count()
+
+    def held(batches):
+        from millrace.llm import tokens
+
+        for _ in batches:
+            found = [len(e.chunks) for (_, limit), e in tokens._encoders.items() if limit == corpus_pipeline.CHUNKS]
+            yield pd.DataFrame({"n": found})
+
+    seen = [r.n for r in spark.range(0, 16, 1, 16).mapInPandas(held, "n long").collect()]
+    assert seen and set(seen) == {0}
+
+
+def test_texts_are_sliced_like_lists():
+    texts = ["abc", None, "", "é" * 7, "漢", None, "x" * 30, "y"]
+    got = list(tokens.sliced(pa.chunked_array([texts[:3], texts[3:]]), 8))
+    assert [(i, j) for i, j, _ in got] == list(tokens.slices(texts, 8)) and [t for *_, part in got for t in part] == texts
+    assert list(tokens.sliced(pa.array([], pa.string()))) == []
+
+
 def test_run_on_odd_rows(spark, odd_docs, tmp_path):
     """A table of several part files with odd rows and clashing columns goes through all stages; the clean rows come out."""
     odd_docs.repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
