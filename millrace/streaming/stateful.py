@@ -7,9 +7,11 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..scratch import folder
 
@@ -20,7 +22,7 @@ PROGRESS = "run long, input_rows long, late_rows long, state_rows long"
 
 @contextmanager
 def rocks_state(spark: SparkSession):
-    """State with several variables and timers needs this state store."""
+    """State beyond the memory of executors needs this state store."""
     before = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKS)
     try:
@@ -29,103 +31,84 @@ def rocks_state(spark: SparkSession):
         spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
-class Sessions(StatefulProcessor):
-    """Open sessions of a key: a map from start to end and sums, a map of counts by kind, and the time of the one timer.
+HELD = ["key", "start", "last", "n", "total", "kinds"]
+
+
+def _linked(parts: list[pa.Table], gap: int) -> pa.Table:
+    """Sessions (rows alone are sessions too) of the same key less than gap apart become one; kinds are lists of different strings."""
+    t = pa.concat_tables(parts).combine_chunks()
+    key, start, last, n, total = (t.column(c).to_numpy() for c in HELD[:5])
+    codes = pd.factorize(key, use_na_sentinel=False)[0]
+    order = np.lexsort((last, start, codes))
+    codes, start, last = codes[order], start[order], last[order]
+    reach = pd.Series(last).groupby(codes).cummax().to_numpy()
+    new = np.ones(len(order), bool)
+    new[1:] = (codes[1:] != codes[:-1]) | (start[1:] - reach[:-1] >= gap)
+    first, number = np.flatnonzero(new), np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    lists = t.column("kinds").combine_chunks()
+    owner = np.repeat(number, lists.value_lengths().to_numpy(zero_copy_only=False))
+    kinds, names = pd.factorize(lists.flatten().to_numpy(zero_copy_only=False))
+    owner, kinds = np.divmod(np.unique(owner * max(1, len(names)) + kinds), max(1, len(names)))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(first)))]).astype(np.int32)
+    sums = (np.add.reduceat(x[order], first) if len(first) else x for x in (n, total))
+    most = np.maximum.reduceat(last, first) if len(first) else last
+    kinds = pa.ListArray.from_arrays(ends, pa.array(names, pa.string()).take(pa.array(kinds)))
+    return pa.table([t.column("key").take(pa.array(order[first])), start[first], most, *sums, kinds], HELD)
+
+
+def _alone(pdf: pd.DataFrame) -> pa.Table:
+    """Each row as a session."""
+    known = pdf["kind"].notna().to_numpy()
+    kinds = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(known)]).astype(np.int32), pa.array(pdf["kind"].to_numpy()[known], pa.string()))
+    at = pdf["at"].to_numpy()
+    return pa.table([pa.array(pdf["key"], pa.string(), from_pandas=True), at, at, np.ones(len(at), np.int64), np.nan_to_num(pdf["value"].to_numpy(), nan=0.0, posinf=np.inf, neginf=-np.inf), kinds], HELD)
+
+
+def _packed(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _sessions(gap: int):
+    """What is done with the rows of a group of keys, and once its timer has passed: gives closed sessions out, keeps open ones in its state.
 
     Times are microseconds. A row joins a session that it is less than gap away from, and sessions that it links become one. A session
     is given out, and its state deleted, when the watermark reaches its end plus gap; rows come in any order.
     """
 
-    def __init__(self, key: str, gap_us: int):
-        self.key, self.gap = key, gap_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "start long", "last long, n long, total double")
-        self.kinds = handle.getMapState("kinds", "start long, kind string", "n long")
-        self.timer = handle.getValueState("timer", "at long")
-
-    def _found(self, pdf: pd.DataFrame) -> list[tuple]:
-        """Sessions of a block of rows alone: start, last, n, total, kinds with their counts."""
-        pdf = pdf.sort_values("at", kind="stable")
-        pdf["number"] = np.cumsum(np.diff(pdf["at"], prepend=pdf["at"].iloc[0]) >= self.gap)
-        kinds: dict[int, dict] = {}
-        for (number, kind), n in pdf.groupby(["number", "kind"]).size().items():
-            kinds.setdefault(number, {})[kind] = n
-        out = pdf.groupby("number").agg(start=("at", "min"), last=("at", "max"), n=("at", "size"), total=("value", "sum"))
-        return [(int(r.start), int(r.last), int(r.n), float(r.total), kinds.get(r.Index, {})) for r in out.itertuples()]
-
-    def _held(self) -> list[tuple]:
-        kinds: dict[int, dict] = {}
-        for (start, kind), (n,) in self.kinds.iterator():
-            kinds.setdefault(start, {})[kind] = n
-        return [(start, last, n, total, kinds.get(start, {})) for (start,), (last, n, total) in self.open.iterator()]
-
-    def _linked(self, sessions: list[tuple]) -> list[tuple]:
-        """Sessions less than gap apart become one."""
-        out: list[tuple] = []
-        for start, last, n, total, kinds in sorted(sessions, key=lambda s: s[:2]):
-            if out and start - out[-1][1] < self.gap:
-                first, end, m, t, ks = out.pop()
-                start, last, n, total = first, max(end, last), m + n, t + total
-                kinds = {k: ks.get(k, 0) + kinds.get(k, 0) for k in {**ks, **kinds}}
-            out.append((start, last, n, total, kinds))
-        return out
-
-    def _keep(self, before: list[tuple], after: list[tuple]) -> None:
-        """Writes what has changed, and sets the one timer to the end of the session that ends first."""
-        was, now = {s[0]: s for s in before}, {s[0]: s for s in after}
-        for start in was.keys() - now.keys():
-            self.open.removeKey((start,))
-        for start, (_, last, n, total, _) in now.items():
-            if was.get(start) != now[start]:
-                self.open.updateValue((start,), (last, n, total))
-        old, new = ({(s[0], k): n for s in sessions for k, n in s[4].items()} for sessions in (before, after))
-        for key in old.keys() - new.keys():
-            self.kinds.removeKey(key)
-        for key, n in new.items():
-            if old.get(key) != n:
-                self.kinds.updateValue(key, (n,))
-        due = self._due(min(s[1] for s in after)) if after else None
-        set_for = self.timer.get()[0] if self.timer.exists() else None
-        if due != set_for:
-            if set_for is not None:
-                self.handle.deleteTimer(set_for)
-            if due is None:
-                self.timer.clear()
-            else:
-                self.handle.registerTimer(due)
-                self.timer.update((due,))
-
-    def _due(self, last: int) -> int:
-        return -(-(last + self.gap) // 1000)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before = now = self._held()
-        for pdf in rows:
-            now = self._linked([*now, *self._found(pdf)])
-        self._keep(before, now)
-        return iter([])
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held, watermark = self._held(), timerValues.getCurrentWatermarkInMs()
-        ended = [s for s in held if self._due(s[1]) <= watermark]
-        self._keep(held, [s for s in held if self._due(s[1]) > watermark])
-        yield pd.DataFrame([(*key, *s[:4], len(s[4])) for s in ended], columns=[self.key, "start", "last", "n", "total", "kinds"])
-
-    def close(self) -> None:
-        pass
-
-
-def expiring_sessions(events: DataFrame, key: str, gap: int, late: str = "1 hour") -> DataFrame:
+    def work(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        parts = [pa.ipc.open_stream(bytes(state.get[0])).read_all()] if state.exists else []
+        now = _linked([*parts, *[_linked([_alone(pdf)], gap) for pdf in frames if len(pdf)]], gap)
+        due = -(-(now.column("last").to_numpy() + gap) // 1000)
+        open_ = due > state.getCurrentWatermarkMs()
+        if open_.any():
+            state.update((_packed(now.filter(pa.array(open_))),))
+            state.setTimeoutTimestamp(int(due[open_].min()) - 1)  # a timer runs once the watermark is beyond it
+        elif state.exists:
+            state.remove()
+        if not open_.all():
+            ended = now.filter(pa.array(~open_))
+            yield pd.DataFrame({c: ended.column(c).to_pandas() for c in HELD[:5]} | {"kinds": pc.list_value_length(ended.column("kinds")).to_numpy()})
+
+    return work
+
+
+def expiring_sessions(events: DataFrame, key: str, gap: int, late: str = "1 hour", groups: int = 1024) -> DataFrame:
     """Closed sessions of a stream with key, ts, value and kind: key, start, last (microseconds), n, total, kinds (how many differ).
 
-    Rows of one key less than gap seconds apart share a session. Null values add nothing, null kinds do not count, rows
-    with null ts are left out. Runs under rocks_state.
+    Rows of one key (whole numbers, strings or dates) less than gap seconds apart share a session. Null values add nothing, null kinds do
+    not count, rows with null ts are left out. Keys are dealt by hash over groups, which share a row of state and a timer: a call for each
+    key would cost more than its rows. All runs from one checkpoint need the same number; a group's rows of a batch are held together,
+    so more rows a batch than some hundred million need more groups. Runs under rocks_state.
     """
-    rows = events.withWatermark("ts", late).filter("ts is not null").select(key, "ts", F.unix_micros("ts").alias("at"), F.col("value").cast("double").alias("value"), F.col("kind").cast("string").alias("kind"))
-    kind = events.schema[key].dataType.simpleString()
-    return rows.groupBy(key).transformWithStateInPandas(Sessions(key, gap * 1_000_000), f"{key} {kind}, start long, last long, n long, total double, kinds int", "append", "eventTime")
+    rows = events.withWatermark("ts", late).filter("ts is not null")
+    rows = rows.select(F.pmod(F.xxhash64(key), F.lit(groups)).alias("group"), F.col(key).cast("string").alias("key"), "ts", F.unix_micros("ts").alias("at"), F.col("value").cast("double").alias("value"), F.col("kind").cast("string").alias("kind"))
+    out = "key string, start long, last long, n long, total double, kinds int"
+    closed = rows.groupBy("group").applyInPandasWithState(_sessions(gap * 1_000_000), out, "open binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return closed.select(F.col("key").cast(events.schema[key].dataType).alias(key), "start", "last", "n", "total", "kinds")
 
 
 def in_runs(parts: list[DataFrame], transform: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -44,3 +44,15 @@ def test_state_goes_once_the_watermark_has_passed(spark):
     assert [seen[i].late_rows for i in range(4)] == [0, 0, 0, 1] and [seen[i].input_rows for i in range(4)] == [len(early), len(later), 1, 2]
     assert seen[2].state_rows < seen[0].state_rows / 3 and seen[2].state_rows <= 4
     assert {r.run for r in closed.select("run").distinct().collect()} == {0, 1, 2}
+
+
+def test_keys_share_rows_of_state(spark):
+    """A call and rows of state for each key took hours on many keys; null and large keys are keys like others."""
+    base = int(datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC).timestamp())
+    rows = [(None if i % 700 == 0 else 2**60 + i % 700, base + i * 37 % 5000, None if i % 5 == 0 else 0.5, [None, "a", "b"][i % 3]) for i in range(4000)]
+    end = [(1, base + 10**6, 1.0, None)]
+    frames = [spark.createDataFrame(part, "k long, s long, value double, kind string").select("k", F.timestamp_seconds("s").alias("ts"), "value", "kind") for part in (rows, end)]
+    with stateful.rocks_state(spark):
+        closed, progress = stateful.in_runs(frames, lambda e: stateful.expiring_sessions(e, "k", GAP, groups=5))
+    assert sorted((str(r.k), r.start, r.last, r.n, round(r.total, 6), r.kinds) for r in closed.collect()) == plain([(str(k), *rest) for k, *rest in rows])
+    assert dict(closed.dtypes)["k"] == "bigint" and [r.state_rows <= 5 for r in progress.collect()] == [True, True]
