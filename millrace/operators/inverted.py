@@ -18,6 +18,8 @@ from ..scratch import fresh, staged
 
 #: Bounds of what goes to the driver and, as centroids, to every task: vectors of the fit, lists, and numbers of all centroids.
 SAMPLE, MOST_CELLS, MOST_NUMBERS = 20_000, 4096, 8_000_000
+#: Cosines that a task holds at once, and rows of vectors that it gives out at once.
+AT_ONCE, GIVEN = 1 << 20, 1 << 14
 
 
 def sound(vector: str, size: int | None = None) -> Column:
@@ -35,6 +37,12 @@ def _units(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
 
 
+def _pieces(n: int, others: int):
+    """(from, to) ranges over n rows, each of which meets as many others, with about AT_ONCE meetings each."""
+    step = max(1, AT_ONCE // max(1, others))
+    return ((i, min(i + step, n)) for i in range(0, n, step))
+
+
 def fitted(rows: DataFrame, key: str, vector: str, cells: int, sample: int = SAMPLE, rounds: int = 10, seed: int = 42) -> np.ndarray:
     """Up to so many centroids of length 1, by spherical k-means over the sample rows of least hash; their size is the most frequent one there."""
     held = rows.filter(sound(vector)).select(vector, F.xxhash64(F.lit(seed), key).alias("hash_")).orderBy("hash_").limit(sample).toArrow().column(0).combine_chunks()
@@ -46,7 +54,7 @@ def fitted(rows: DataFrame, key: str, vector: str, cells: int, sample: int = SAM
     cells = max(1, min(cells, len(x), MOST_NUMBERS // size))
     at = x[np.random.default_rng(seed).choice(len(x), cells, replace=False)]
     for _ in range(rounds):
-        near = np.argmax(x @ at.T, axis=1)
+        near = np.concatenate([np.argmax(x[i:j] @ at.T, axis=1) for i, j in _pieces(len(x), cells)])
         sums = np.zeros_like(at)
         np.add.at(sums, near, x)
         length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
@@ -54,16 +62,23 @@ def fitted(rows: DataFrame, key: str, vector: str, cells: int, sample: int = SAM
     return at
 
 
+def _cut(batches, cells: int):
+    """Batches cut so that a task holds no more than about AT_ONCE cosines with so many centroids, however long batches are."""
+    for batch in batches:
+        for i, j in _pieces(batch.num_rows, cells):
+            yield batch.slice(i, j - i)
+
+
 def _placed(df: DataFrame, key: str, vector: str, keep: list[str], at: np.ndarray) -> DataFrame:
     """key, keep, vector, cell (its nearest centroid) and angle to that."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     names = [key, *keep, vector]
 
     def work(batches):
-        for batch in batches:
+        for batch in _cut(batches, len(at)):
             sims = np.clip(_units(batch.column(len(names) - 1)) @ at.T, -1, 1)
-            cell = sims.argmax(axis=1) if len(sims) else np.zeros(0, np.int64)
-            angle = np.arccos(sims[np.arange(len(sims)), cell]) if len(sims) else np.zeros(0)
+            cell = sims.argmax(axis=1)
+            angle = np.arccos(sims[np.arange(len(sims)), cell])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle)], [*names, "cell_", "angle_"])
 
     return df.filter(sound(vector, at.shape[1])).select(*names).mapInArrow(work, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", cell_ int, angle_ double")
@@ -75,8 +90,8 @@ def _asked(queries: DataFrame, key: str, vector: str, at: np.ndarray, probes: in
     names = [key, vector, *([least] if least else [])]
 
     def work(batches):
-        for batch in batches:
-            sims = np.clip(_units(batch.column(1)) @ at.T, -1, 1) if batch.num_rows else np.zeros((0, len(at)))
+        for batch in _cut(batches, len(at)):
+            sims = np.clip(_units(batch.column(1)) @ at.T, -1, 1)
             first = np.argsort(-sims, axis=1, kind="stable")[:, :probes]
             wanted = np.zeros(sims.shape, bool)
             if radius is None:
@@ -86,7 +101,8 @@ def _asked(queries: DataFrame, key: str, vector: str, at: np.ndarray, probes: in
                 wanted = (top >= batch.column(2).to_numpy()[:, None] - 3e-6) & (radius >= 0)
                 np.put_along_axis(wanted, first, False, axis=1)
             q, cell = np.nonzero(wanted)
-            yield pa.RecordBatch.from_arrays([*batch.select([0, 1]).take(pa.array(q)).columns, pa.array(cell.astype(np.int32))], ["query_id", vector, "cell_"])
+            for i in range(0, len(q), GIVEN):
+                yield pa.RecordBatch.from_arrays([*batch.select([0, 1]).take(pa.array(q[i : i + GIVEN])).columns, pa.array(cell[i : i + GIVEN].astype(np.int32))], ["query_id", vector, "cell_"])
 
     return queries.select(*names).mapInArrow(work, f"query_id {kinds[key]}, `{vector}` {kinds[vector]}, cell_ int")
 
@@ -109,8 +125,8 @@ def _best(placed: DataFrame, asked: DataFrame, key: str, vector: str, keep: list
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         a, parts = a.sort_by(key), []
         x, y = _units(a.column(vector)), _units(b.column(vector))
-        for at in range(0, b.num_rows if a.num_rows else 0, 256):
-            sims = np.round(y[at : at + 256] @ x.T, 6)
+        for at, to in _pieces(b.num_rows if a.num_rows else 0, a.num_rows):
+            sims = np.round(y[at:to] @ x.T, 6)
             top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
             found = a.take(pa.array(top.ravel()))
             query = b.column("query_id").take(pa.array(np.repeat(np.arange(at, at + len(sims)), top.shape[1])))

@@ -1,7 +1,9 @@
 """Search by an inverted file against all pairs: exact mode, recall of the probed lists, odd vectors, hot lists."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from millrace import operators
 from millrace.operators import inverted
@@ -68,3 +70,21 @@ def test_blocks_leave_out_what_has_no_direction(spark):
     df = frame(spark, x, [None, [], [0.0] * 4, [1.0] * 7, [float("nan")] * 4, [float("inf"), 1.0, 1.0, 1.0], [None, 1.0, 1.0, 1.0]])
     got = operators.nearest(df, df, "id", "v", 5, block=16)
     assert {(r.query_id, r["rank"], r.id, r.sim) for r in got.collect()} == truth(x, np.arange(60), 5)
+
+
+@pytest.mark.parametrize("further", [False, True])
+def test_a_task_holds_few_cosines_at_once(spark, further):
+    """A batch met all centroids at once, and its queries all their lists: ten thousand rows by thousands of lists, several times over."""
+    x = clustered(1500, 8, 4)
+    at, radius = x[:1000] / np.linalg.norm(x[:1000], axis=1, keepdims=True), np.full(1000, 3.2)
+    df = frame(spark, x).withColumn("least", F.lit(-2.0))
+    asked = inverted._asked(df, "id", "v", at, 3, *([radius, "least"] if further else []))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    assert asked.count() == 1500 * (997 if further else 3)
+    at_once = [r.n for r in inverted._placed(df, "id", "v", [], at).coalesce(1).mapInArrow(sizes, "n long").collect()]
+    assert sum(at_once) == 1500 and [j - i for i, j in inverted._pieces(10_000, 4096)][:2] == [256, 256]
+    assert max(b.num_rows for b in inverted._cut([pa.record_batch({"a": range(1500)})], 4096)) * 4096 <= inverted.AT_ONCE
